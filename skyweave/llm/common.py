@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyweave.session import ship
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -102,6 +104,7 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list]], Iter
             done.extend(fn(dict(zip(names, held))))
         yield from flush(True)
 
+    ship(df.sparkSession)
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
 
 

@@ -28,11 +28,40 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    found = decontaminate.match(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("matches"))
+
+
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chunks
+
+    return chunks.deduplicate(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_secret_scans": op1_secret_scans, "op9_mix_sources": op9_mix_sources}
+    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op6_decontaminate, op8_chunk_dedup, op9_mix_sources)
+    return {f.__name__: f for f in mine}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import licenses, mixing
 
-    return {"op9_mix_sources": mixing.SQL.format(docs="documents", columns="")}
+    return {"op2_license_scans": licenses.sql("documents"), "op9_mix_sources": mixing.SQL.format(docs="documents", columns="")}
