@@ -50,6 +50,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("matches"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vectors
+
+    return vectors.near(read(spark, sf_dir, "embeddings"))
+
+
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chunks
 
@@ -57,7 +63,7 @@ def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op6_decontaminate, op8_chunk_dedup, op9_mix_sources)
+    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources)
     return {f.__name__: f for f in mine}
 
 
