@@ -43,6 +43,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(read(spark, sf_dir, "documents")).drop("th")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -63,7 +69,7 @@ def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources)
+    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op5_jaccard_join, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources)
     return {f.__name__: f for f in mine}
 
 
