@@ -38,7 +38,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = language.fit(docs.where(~held_out))
     return language.predict(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -68,8 +68,17 @@ def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.deduplicate(read(spark, sf_dir, "documents"))
 
 
+def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    tree, tokens = suffix.learn(docs.where(~held_out))
+    return suffix.score(docs, tree, tokens).withColumn("held_out", held_out)
+
+
 def queries() -> dict:
-    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op5_jaccard_join, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources)
+    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op5_jaccard_join, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources, op10_suffix_tree_scores)
     return {f.__name__: f for f in mine}
 
 
