@@ -43,6 +43,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import columns
+
+    found = columns.deduplicate(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
@@ -78,7 +85,7 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op5_jaccard_join, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources, op10_suffix_tree_scores)
+    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op4_repeated_strings, op5_jaccard_join, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources, op10_suffix_tree_scores)
     return {f.__name__: f for f in mine}
 
 
