@@ -1,11 +1,68 @@
-"""From raw documents to a weighted mix. (Stages follow.)"""
+"""From raw documents to a weighted mix, in five stages.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next one's ``docs``. All but the last return
+the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyweave.llm import decontaminate, jaccard, language, mixing, secrets
+from skyweave.llm.common import cut, read
+
+#: A text whose language takes less than this share of all n-grams found is
+#: rejected: with four languages, chance gives a quarter.
+LEAST_SCORE = 0.3
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts in one of the languages of the labelled documents, which
+    the filter is fitted on; ``lang`` becomes what was predicted. Texts
+    without a letter, or too evenly divided, go."""
+    found = language.predict(docs, language.fit(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near copies: the least doc_id."""
+    return jaccard.distinct(docs).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which an item of ``benchmark`` occurs."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document, with a mark in place of each secret; ``n_chars``
+    follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: for each document the words it takes and its source's target."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language ID", identify),
+    ("n-gram Jaccard join", distinct),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", redacted),
+    ("mixing sources to target weights", mixed),
+]
+
+#: Trained filters, near copies and edit distances are beyond SQL; tests hold
+#: the result against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written and reread."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
