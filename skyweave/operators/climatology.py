@@ -61,9 +61,9 @@ def percentiles(series: DataFrame, keys: list[str], value: str, percent: list[fl
     """One row for each percentile, named in ``stat``; linear between values."""
     v = F.col(value)
     found = series.groupBy(*keys).agg(F.count(v).alias("n"), F.percentile(v, F.array(*[F.lit(p / 100) for p in percent])).alias("all"))
-    named = found.select(*keys, "n", F.posexplode("all").alias("_k", "value"))
-    names = F.array(*[F.lit(f"{p:g}%") for p in percent])
-    return named.select(*keys, "n", F.element_at(names, F.col("_k") + 1).alias("stat"), F.when(F.col("n") >= min_years, F.col("value")).alias("value"))
+    # Not the array is exploded, which is null without values, but the names.
+    named = found.select(*keys, "n", "all", F.posexplode(F.array(*[F.lit(f"{p:g}%") for p in percent])).alias("_k", "stat"))
+    return named.select(*keys, "n", "stat", F.when(F.col("n") >= min_years, F.col("all")[F.col("_k")]).alias("value"))
 
 
 def probability(series: DataFrame, keys: list[str], value: str, threshold: float, exceeding: bool = True, percent: bool = True, min_years: int = 30) -> DataFrame:
