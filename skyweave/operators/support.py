@@ -121,3 +121,10 @@ def centroid(ring: Column) -> Column:
         return F.struct(F.round(x / r * 180 / math.pi, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
     return F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), start, step, finish)
+
+
+def zone_points(zones: DataFrame) -> DataFrame:
+    """``(loc, lon, lat)``: each zone's centroid, the mean of its rings' where
+    it has several."""
+    rings = zones.select("zone", F.explode("rings").alias("ring")).withColumn("c", centroid(F.col("ring")))
+    return rings.groupBy(F.col("zone").alias("loc")).agg(F.round(F.avg("c.lon"), 6).alias("lon"), F.round(F.avg("c.lat"), 6).alias("lat"))

@@ -113,6 +113,16 @@ class Engine:
         return A.anomaly(data, base, keys, "value", check_anomaly(kind), spec.min_years)
 
 
+    def lookup(self, path: str, variable: str, res: str, stat: str, support: Support) -> DataFrame:
+        """A statistic that :func:`materialise_climatologies` keeps, by cell or
+        averaged over the cells of a support; the mean of a stdev is not the
+        stdev of the mean, which :meth:`climatology` gives."""
+        store = self.obs.sparkSession.read.parquet(path).where((F.col("variable") == variable) & (F.col("res") == res) & (F.col("stat") == stat))
+        where = Engine(store.join(P.cells(self.obs), P.CELL).withColumn("time", F.col("slot")), self.lat0, self.lon0, self.dlat, self.dlon)
+        found, keys = where.at(support, ["value"])
+        return found.select(*keys, F.col("time").alias("slot"), "value")
+
+
 def materialise_climatologies(engine: Engine, series: list[Series], path: str, first_year: int = 1991, last_year: int = 2020, min_years: int = 30) -> None:
     """Mean, stdev and percentiles 5, 25, 50, 75 and 95 of all ``series``, as a
     table by variable and resolution."""

@@ -43,6 +43,15 @@ def json_points(series: DataFrame, sites: DataFrame, missing: float = MISSING) -
     return whole.select("loc", F.to_json(F.struct(F.col("loc").alias("Name"), F.col("lon").alias("Longitude"), F.col("lat").alias("Latitude"), F.transform("v", lambda s: s["label"]).alias("Dates"), F.transform("v", lambda s: s["value"]).alias("Values"))).alias("json"))
 
 
+def json_climatology(found: DataFrame, sites: DataFrame, missing: float = MISSING) -> DataFrame:
+    """One JSON object a site with, for each statistic, its values in order of
+    slots; ``found`` has ``site, slot, stat, value``."""
+    each = found.groupBy("site", "stat").agg(F.array_sort(F.collect_list(F.struct("slot", filled(F.col("value"), missing).alias("value")))).alias("v"))
+    whole = each.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stat", F.transform("v", lambda s: s["value"]).alias("v"))))).alias("stats"))
+    rows = sites.join(whole, F.col("loc") == F.col("site"))
+    return rows.select("loc", F.to_json(F.struct(F.col("loc").alias("Name"), F.col("lon").alias("Longitude"), F.col("lat").alias("Latitude"), F.col("stats").alias("Values"))).alias("json"))
+
+
 def json_grid(grid: DataFrame, value: str, missing: float = MISSING) -> DataFrame:
     """One JSON object a period and row of the grid, south to north."""
     row = F.array_sort(F.collect_list(F.struct("lon", filled(F.col(value), missing).alias("v"))))

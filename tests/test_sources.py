@@ -60,6 +60,63 @@ def test_dated_files(spark, tmp_path):
     assert grid.dated_files(spark, str(tmp_path), "rr_%Y%m%-d.parquet").count() == 3
 
 
+def test_netcdf_round_trip(spark, tmp_path):
+    import numpy as np
+
+    from skyweave.sources import netcdf
+
+    y, x = np.array([2.0, 1.0, 0.0]), np.array([10.0, 11.0])
+    for k in (1, 2):
+        v = np.arange(6, dtype=np.float32).reshape(3, 2) * k
+        v[0, 1] = -99
+        raw = netcdf.encode({"lat": 3, "lon": 2}, {"lat": (("lat",), y, {}), "lon": (("lon",), x, {}), "rr": (("lat", "lon"), v, {"_FillValue": np.float32(-99), "units": "mm"})}, {"title": "rain"})
+        (tmp_path / f"rr_2001010{k}.nc").write_bytes(raw)
+    found, whole = netcdf.decode(raw)
+    assert whole == {"title": "rain"} and found["rr"][2]["units"] == "mm" and np.array_equal(found["rr"][1], v)
+    rows = netcdf.read_fields(spark, str(tmp_path), "rr_%Y%m%d.nc", "rr").orderBy("time", "lat_i", "lon_i").collect()
+    assert len(rows) == 12 and [r["value"] for r in rows[:6]] == [4.0, 5.0, 2.0, 3.0, 0.0, None] and rows[0]["lat"] == 0.0
+    grid_ = spark.createDataFrame([(r["lat"], r["lon"], r["value"]) for r in rows[6:]], "lat double, lon double, rr double")
+    again, _ = netcdf.decode(netcdf.field_bytes(grid_, ["rr"]))
+    assert again["rr"][1].tolist() == [[8.0, 10.0], [4.0, 6.0], [0.0, -9999.0]]
+    with pytest.raises(ValueError):
+        netcdf.decode(b"HDF5 or what")
+
+
+def test_shapefile(spark, tmp_path):
+    import struct
+
+    from skyweave.operators import support
+    from skyweave.sources import shapefile
+
+    def record(k, kind, rings):
+        points = [p for r in rings for p in r]
+        first, n = [], 0
+        for r in rings:
+            first.append(n)
+            n += len(r)
+        body = struct.pack("<i4d", kind, 0, 0, 0, 0) + struct.pack("<ii", len(rings), n) + struct.pack(f"<{len(first)}i", *first) + struct.pack(f"<{2 * n}d", *[c for p in points for c in p])
+        return struct.pack(">ii", k, len(body) // 2) + body
+
+    square = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0), (0.0, 0.0)]
+    shift = lambda d: [(a + d, b) for a, b in square]
+    (tmp_path / "z.shp").write_bytes(b"\0" * 100 + record(1, 5, [square]) + record(2, 15, [shift(5)]) + record(3, 3, [square]) + record(4, 5, [shift(9)]))
+    names = ["A", "B", "line", "A"]
+    head = struct.pack("<B3BIHH20x", 3, 0, 0, 0, 4, 65, 9) + b"NAME".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([8]) + b"\0" * 15 + b"\r"
+    (tmp_path / "z.dbf").write_bytes(head + b"".join(b" " + n.encode().ljust(8) for n in names))
+    zones = shapefile.read(spark, str(tmp_path / "z.shp"), "NAME")
+    assert {r["zone"]: len(r["rings"]) for r in zones.collect()} == {"A": 2, "B": 1} and shapefile.fields(spark, str(tmp_path / "z.shp")) == ["NAME"]
+    assert {r["loc"]: round(r["lon"], 6) for r in support.zone_points(zones).collect()} == {"A": 5.5, "B": 6.0}
+
+
+def test_names():
+    from skyweave.plans import names
+
+    of = names.of_series(specs.Series("precip", "monthly", "1995-01-01", "1996-01-01"))
+    assert of.units == "mm" and [m.name for m in names.of_statistic(of, specs.Climatology("mean-stdev"))] == ["precip_mean", "precip_stdev"]
+    assert names.of_anomaly(of, "percentage").units == "%" and names.file_name(of, "2001-01/x", "csv") == "precip_2001-01_x.csv"
+    assert names.of_index(specs.SeasonIndex("NumWD", Season(101, 131))).units == "count"
+
+
 def test_engine_over_all_supports(spark, tmp_path):
     e = Engine(grid.weather(spark, SF).cache(), grid.LAT0, grid.LON0, grid.STEP, grid.STEP)
     month = lambda s, **k: specs.Series("precip", "monthly", "1995-01-01", "2000-12-31", s, min_frac=0.0, **k)
@@ -76,6 +133,9 @@ def test_engine_over_all_supports(spark, tmp_path):
     assert e.season(index).count() >= 6 and e.season_climatology(index, base).count() == 1 and e.season_anomaly(index, "standardized", base).count() >= 6
     materialise_climatologies(e, [month(box)], str(tmp_path / "clim"), 1995, 2000, 3)
     assert spark.read.parquet(str(tmp_path / "clim")).select("stat").distinct().count() == 7
+    materialise_climatologies(e, [month(specs.Original())], str(tmp_path / "cells"), 1995, 2000, 3)
+    assert e.lookup(str(tmp_path / "cells"), "precip", "monthly", "mean", specs.Original()).count() == 300
+    assert e.lookup(str(tmp_path / "cells"), "precip", "monthly", "95%", box).count() == 12
     assert e.info().first()["n_times"] > 2000
 
 
@@ -96,5 +156,8 @@ def test_sinks(spark):
         sinks.zip_zones(df, "zone", 1)
     g = spark.createDataFrame([("2001", 0.0, 1.0, 2.345), ("2001", 0.0, 0.0, None)], "label string, lat double, lon double, v double")
     assert json.loads(sinks.json_grid(g, "v").first()["json"])["v"] == [-9999.0, 2.35]
+    sites = spark.createDataFrame([("A", 1.0, 2.0)], places.SITES)
+    clim = spark.createDataFrame([("A", 2, "mean", 4.0), ("A", 1, "mean", None), ("A", 1, "stdev", 0.5)], "site string, slot int, stat string, value double")
+    assert json.loads(sinks.json_climatology(clim, sites).first()["json"])["Values"] == {"mean": [-9999.0, 4.0], "stdev": [0.5]}
     c = g.withColumn("stat", F.lit("mean")).withColumnRenamed("v", "value")
     assert sinks.climatology_columns(c, ["mean"]).count() == 2
