@@ -176,7 +176,9 @@ def join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, deepest: int
     groups = components(met).select("node", F.col("component").alias("group"))
     members = cut(nodes.join(groups, "node").select("node", "group", "copies", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")))
     rows = keyed(docs)
-    texts = rows.join(members, same_row(rows, members)).select("group", "node", "copies", "text")
+    # The same join at every size: one that turns with the members' number
+    # would make the shuffle jump.
+    texts = rows.join(members.hint("shuffle_hash"), same_row(rows, members)).select("group", "node", "copies", "text")
     sizes = members.groupBy("group").agg(F.count("*").alias("members"))
     tasks = deal(_sets(texts), ["group"], "node", sizes, block)
     found = cut(grouped(tasks, ["group", "_i", "_j"], _verify(threshold), "node long, links long, root long"))
