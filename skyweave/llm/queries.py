@@ -90,6 +90,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, mixing
-
-    return {"op2_license_scans": licenses.sql("documents"), "op9_mix_sources": mixing.SQL.format(docs="documents", columns="")}
+    from . import licenses, mixing, sql
+
+    return {
+        "op2_license_scans": licenses.sql("documents"),
+        "op4_repeated_strings": sql.REPEATED_STRINGS,
+        "op5_jaccard_join": sql.JACCARD_JOIN,
+        "op7_embedding_dedup": sql.EMBEDDING_LINKS,
+        "op9_mix_sources": mixing.SQL.format(docs="documents", columns=""),
+    }
