@@ -11,7 +11,9 @@ How pieces are found: of the K-byte grams in each window of ``length`` bytes,
 the one with the least digest is its anchor, so equal windows have equal
 anchors at equal places. Windows in a row with one anchor are a piece. Only
 pieces whose anchor occurs again are looked at; pieces equal as a whole repeat
-as a whole.
+as a whole. An anchor with very many different pieces, such as a line that a
+third of all texts hold, is no key: its windows get a second anchor, the least
+gram at a distance from the first, and if need be a third and fourth.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from skyweave.session import ship
 
 from .common import cut, keyed, same_row
-from .textbytes import blocks, prefix, ranges, runs, utf8
+from .textbytes import blocks, mixed, prefix, ranges, runs, utf8
 
 K = 64
 
@@ -65,12 +67,44 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     return first[start], count, anchor[start], h[anchor[start]]
 
 
+#: How far from its other anchors a further anchor stands, and how many a
+#: window has at most: with four, nothing of it is that far from all.
+APART, LEVELS = 100, 4
+
+
+def divided(h: np.ndarray, start: int, windows: int, anchors: tuple[int, ...], key: int, hot: list[np.ndarray], width: int) -> Iterator[tuple[int, int, int]]:
+    """``(start, windows, key)`` of the parts of a piece: while its key is hot,
+    runs of windows with equal further anchors. ``h`` holds the digests of all
+    grams, ``width`` is the number of grams in a window."""
+    level = len(anchors) - 1
+    mine = hot[level] if level < len(hot) else ()
+    at = np.searchsorted(mine, np.uint64(key)) if len(mine) else 0
+    if level + 1 >= LEVELS or at >= len(mine) or mine[at] != np.uint64(key):
+        yield start, windows, key
+        return
+    place = np.arange(start, start + windows - 1 + width)
+    value = (h[place] & np.uint64(0xFFFFFFFF00000000)) | (place - start).astype(np.uint64)
+    none = np.iinfo(np.uint64).max
+    for a in anchors:
+        value[np.abs(place - a) < APART] = none
+    low = least(value, width)
+    for s, c in zip(*(x.tolist() for x in runs(low))):
+        if low[s] == none:  # all of these windows are near an anchor
+            yield start + s, c, key
+            continue
+        further = start + int(low[s] & np.uint64(0xFFFFFFFF))
+        joint = int(mixed(np.array([key ^ (int(h[further]) * 3 + further - anchors[0]) & (1 << 64) - 1], np.uint64))[0])
+        yield from divided(h, start + s, c, (*anchors, further), joint, hot, width)
+
+
 PIECES = "doc_id long, th long, h long, dg long, start long, windows int, lead int"
 
 
-def listed(docs: DataFrame, length: int) -> DataFrame:
-    """All pieces with the digests of anchor and whole."""
+def listed(docs: DataFrame, length: int, hot: list[np.ndarray]) -> DataFrame:
+    """All pieces with the digests of anchor and whole; ``hot`` lists, level by
+    level, the keys that are too common."""
     ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most 2**16 keys a level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,6 +112,8 @@ def listed(docs: DataFrame, length: int) -> DataFrame:
             for i, j in blocks(offsets):
                 part, inner = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 start, windows, anchor, h = pieces(part, inner, length)
+                if shared.value and len(start):
+                    start, windows, anchor, h = _divided(part, start, windows, anchor, h, shared.value, length)
                 raw = part.tobytes()
                 ends = start + windows - 1 + length
                 dg = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), ends.tolist())], np.uint64)
@@ -91,6 +127,19 @@ def listed(docs: DataFrame, length: int) -> DataFrame:
     return keyed(docs).mapInArrow(run, PIECES)
 
 
+def _divided(part: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, h: np.ndarray, hot: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
+    """The pieces with those of hot anchors in parts."""
+    common = np.isin(h, hot[0])
+    if not common.any():
+        return start, windows, anchor, h
+    grams = ranges(prefix(part), np.arange(len(part) - K + 1), np.arange(K, len(part) + 1))
+    parts = [(s, w, a, k) for i in np.flatnonzero(common) for a in [int(anchor[i])] for s, w, k in divided(grams, int(start[i]), int(windows[i]), (a,), int(h[i]), hot, length - K + 1)]
+    s, w, a, k = zip(*parts)
+    keep = ~common
+    join = lambda x, y, t: np.concatenate((x[keep], np.array(y, t)))
+    return join(start, s, np.int64), join(windows, w, np.int64), join(anchor, a, np.int64), join(h, k, np.uint64)
+
+
 def construct(frame: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Rounds ``(column, order, common)`` from the last column to the first:
     the pieces that reach the column, sorted in their group by what follows it,
@@ -108,7 +157,7 @@ def construct(frame: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.
             stay = np.flatnonzero(first[order] <= x)
             if len(stay):
                 begin = np.concatenate(([0], stay[:-1] + 1))
-                common = np.minimum.reduceat(common, begin)
+                common = np.minimum.reduceat(common[: stay[-1] + 1], begin)
                 order = order[stay]
             else:
                 order, common = order[:0], common[:0]
@@ -214,17 +263,26 @@ def _reported(length: int, limit: int):
     return run
 
 
-def spans(docs: DataFrame, length: int = 400, limit: int = 4 << 20) -> DataFrame:
+def spans(docs: DataFrame, length: int = 400, limit: int = 4 << 20, group: int = 4096) -> DataFrame:
     """``(doc_id, th, a, b)``: stretches of bytes, each a union of windows of
     ``length`` bytes that occur elsewhere too, in the table or the same text.
-    They may overlap."""
-    every = cut(listed(docs, length))
-    again = cut(every.groupBy("h").agg(F.count("*").alias("n"), F.min("dg").alias("x"), F.max("dg").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("mixed")))
-    mine = cut(every.join(again, "h"))
+    They may overlap. A key with more than ``group`` kinds of pieces is
+    divided, and the texts are listed anew."""
     whole = lambda df: df.select("doc_id", "th", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1 + length).alias("b"))
-    mixed = mine.where("mixed")
-    kinds = cut(mixed.groupBy("h", "dg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "windows", "lead")).alias("one")))
-    copies = mixed.join(kinds.where("copies > 1").select("h", "dg"), ["h", "dg"], "left_semi")
+    hot: list[np.ndarray] = []
+    while True:
+        every = cut(listed(docs, length, hot))
+        again = cut(every.groupBy("h").agg(F.count("*").alias("n"), F.min("dg").alias("x"), F.max("dg").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("mixed")))
+        mine = cut(every.join(again, "h"))
+        mixed_ = mine.where("mixed")
+        kinds = cut(mixed_.groupBy("h", "dg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "windows", "lead")).alias("one")))
+        size = kinds.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+        # At most 2**16 keys have that many kinds each.
+        common = kinds.groupBy("h").count().where(F.col("count") > max(group, size["kinds"] >> 16)).select("h").toArrow()
+        if not common.num_rows or len(hot) + 1 >= LEVELS:
+            break
+        hot.append(np.sort(common["h"].to_numpy().view(np.uint64)))
+    copies = mixed_.join(kinds.where("copies > 1").select("h", "dg"), ["h", "dg"], "left_semi")
     wanted = kinds.select("one.doc_id", "one.th", F.struct("h", "dg", "copies", "one.start", "one.windows", "one.lead").alias("piece")).groupBy("doc_id", "th").agg(F.collect_list("piece").alias("pieces"))
     rows = keyed(docs)
     found = rows.join(wanted.hint("shuffle_hash"), same_row(rows, wanted)).select(rows["doc_id"], rows["th"], "text", "pieces")
@@ -243,7 +301,7 @@ def spans(docs: DataFrame, length: int = 400, limit: int = 4 << 20) -> DataFrame
     return whole(mine.where("not mixed")).union(whole(copies)).union(compared)
 
 
-def deduplicate(docs: DataFrame, length: int = 400) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 400, **how) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_bytes, n_removed,
     n_spans, kept``.
 
@@ -253,7 +311,7 @@ def deduplicate(docs: DataFrame, length: int = 400) -> DataFrame:
     of removed bytes, ``kept`` is what stays. Null texts are empty; texts
     shorter than ``length`` stay whole; of repeated rows each is the other's
     repetition; other columns do not matter."""
-    found = cut(spans(docs, length))
+    found = cut(spans(docs, length, **how))
     gone = found.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     rows = keyed(docs)
     joined = rows.join(gone.hint("shuffle_hash"), same_row(rows, gone), "left").select(rows["doc_id"], "text", "gone")
