@@ -146,7 +146,7 @@ def _judge(model: Filter, offsets: np.ndarray, data: np.ndarray) -> tuple[np.nda
     docs, langs = len(offsets) - 1, len(model.langs)
     hits, total, some = np.zeros((docs, langs)), np.zeros(docs), np.zeros(docs, bool)
     narrow = Filter(model.langs, model.masks.astype(np.uint8), model.rate, model.n, model.hashes) if langs <= 8 else model
-    for i, j in blocks(offsets, 1 << 19):
+    for i, j in blocks(offsets, 1 << 18):
         # One space beside each text: n-grams across texts would count for neither.
         parts = [letters(b" " + data[offsets[d] : offsets[d + 1]].tobytes() + b" ") for d in range(i, j)]
         first = np.cumsum([0, *map(len, parts)])
@@ -180,12 +180,10 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # a fixed number of slots
     names = np.array([*model.langs, "und"], object)
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def judge(texts):
-        import pandas as pd
-
-        best, score = _judge(shared.value, *utf8(pa.array(texts, pa.large_string(), from_pandas=True)))
-        return pd.DataFrame({"lang_pred": names[best], "score": score})
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def judge(texts: pa.Array) -> pa.Array:
+        best, score = _judge(shared.value, *utf8(texts))
+        return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
     found = docs.withColumn("_found", judge(text_of(docs)))
     return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")

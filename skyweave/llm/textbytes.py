@@ -17,7 +17,13 @@ LOWER[65:91] += 32
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(offsets, bytes)`` of a string column; a null is an empty text."""
+    """``(offsets, bytes)`` of a string column; a null is an empty text.
+
+    Workers read batches of tens of megabytes one after another; the system's
+    allocator gives such blocks back at once, where Arrow's own would keep
+    them."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
