@@ -96,8 +96,8 @@ def near(
     copies cost nothing. Rows with the same id are one member for
     ``component_id``, and each other's links where their vectors are linked.
 
-    The forest is fitted on a bounded sample, the ``sample`` vectors whose
-    digests are lowest; every vector is filed in it. Leaves hold about ``leaf``
+    The forest is fitted on a bounded sample, about ``sample`` vectors, those
+    whose digests are lowest; every vector is filed in it. Leaves hold about ``leaf``
     vectors at any size of the table, as depth grows with it; a leaf with more
     vectors of one label than ``block`` is compared block by block. A pair that
     shares several leaves counts at the first of them alone."""
@@ -111,7 +111,8 @@ def near(
     slim = cut(rows.select("vec_id", "node"))
     copies = cut(rows.where("sound").groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")))
     total = copies.count()
-    chosen = copies.orderBy(F.xxhash64(F.lit(seed), "node")).limit(sample).select("embedding").collect()
+    place = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30))
+    chosen = copies.where(place < int(min(1.0, sample / max(1, total)) * (1 << 30))).select("embedding").collect()  # about ``sample``
     vectors = [r[0] for r in chosen]
     dims = sorted({len(v) for v in vectors})
     depth = max(0, int(np.ceil(np.log2(max(1, total) / leaf))))
@@ -141,7 +142,6 @@ def near(
     key = ["label", "leaf", "dim"]
     spread = filed.select("*", F.explode("leaves").alias("leaf"), F.size("embedding").alias("dim"))
     sizes = spread.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
-    # Components are shipped as floats where that loses nothing.
     tasks = deal(spread, key, "node", sizes, block)
 
     def compare(g: dict[str, list]) -> Iterator[dict]:
