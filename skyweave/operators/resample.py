@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions import calendar as C
-from skyweave.functions.compare import compare
 from skyweave.functions.stats import nan_to_null, reducer
 
 
@@ -75,7 +74,3 @@ def resample(
         out = out.join(best, keys)
         good = F.col("_best") >= min_frac
     return out.select(*keys, "period", "n_valid", F.when(good, F.col("_value")).alias(value))
-
-
-def count_where(v: Column, op: str, threshold: float) -> Column:
-    return F.count_if(compare(v, op, threshold))
