@@ -282,7 +282,12 @@ def spans(docs: DataFrame, length: int = 400, limit: int = 4 << 20, group: int =
         if not common.num_rows or len(hot) + 1 >= LEVELS:
             break
         hot.append(np.sort(common["h"].to_numpy().view(np.uint64)))
-    copies = mixed_.join(kinds.where("copies > 1").select("h", "dg"), ["h", "dg"], "left_semi")
+    # Pieces with very many copies, at most 2**16 kinds, go to every task: by
+    # their key, all their rows would meet in one.
+    twice = kinds.where("copies > 1")
+    many = F.broadcast(twice.where(F.col("copies") > max(1000, size["rows"] >> 16)).select("h", "dg"))
+    few = twice.where(F.col("copies") <= max(1000, size["rows"] >> 16)).select("h", "dg")
+    copies = mixed_.join(many, ["h", "dg"], "left_semi").union(mixed_.join(many, ["h", "dg"], "left_anti").join(few, ["h", "dg"], "left_semi"))
     wanted = kinds.select("one.doc_id", "one.th", F.struct("h", "dg", "copies", "one.start", "one.windows", "one.lead").alias("piece")).groupBy("doc_id", "th").agg(F.collect_list("piece").alias("pieces"))
     rows = keyed(docs)
     found = rows.join(wanted.hint("shuffle_hash"), same_row(rows, wanted)).select(rows["doc_id"], rows["th"], "text", "pieces")
