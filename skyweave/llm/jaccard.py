@@ -147,8 +147,14 @@ def _verify(threshold: float):
     return compare
 
 
-def join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, deepest: int = 8, recall: float = 0.999, block: int = 512) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, th, n_links, class_id``.
+def join(docs: DataFrame, **how) -> DataFrame:
+    """:func:`classes` without the components."""
+    return classes(docs, **how).drop("component")
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 20, deepest: int = 8, recall: float = 0.999, block: int = 512) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, th, n_links, class_id,
+    component``.
 
     Two rows are linked where their sets of word five-grams (A-Z folded, white
     space of any kind between words) have a Jaccard similarity of
@@ -156,7 +162,9 @@ def join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, deepest: int
     linked directly, ``class_id`` is the least id that links reach. Rows whose
     text is null or has no word link with nothing. Rows may repeat, and count
     as often as they do; a null id is no one's ``class_id`` unless all of the
-    class are null. ``th`` is the text's digest; other columns do not matter.
+    class are null. Different classes may have the same ``class_id``, where all
+    ids are null or an id repeats; ``component`` tells them apart, null for rows
+    without words. ``th`` is the text's digest; other columns do not matter.
 
     Equal sets are taken together before anything is compared, so copies cost
     nothing. Candidates are rows that meet the least row of a prefix; what is
@@ -186,18 +194,19 @@ def join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, deepest: int
     tied = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     done = cut(nodes.select("node", "low", "copies").join(links, "node", "left").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = done.groupBy("component").agg(F.min("low").alias("class_id"))
-    done = cut(done.join(least, "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    done = cut(done.join(least, "component").select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = slim.select("doc_id", "th", "node").join(done, "node", "left")
-    return out.select("doc_id", "th", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select("doc_id", "th", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"), "component")
 
 
 def distinct(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each class that :func:`join` finds: that of
     the least id, once if it repeats. Rows in no class of two all stay; of a
     class of which all ids are null one row stays."""
-    found = join(docs, **how)
+    found = classes(docs, **how)
     single = found.where("n_links = 0").select("doc_id", "th")
-    group = found.where("n_links > 0 and (doc_id = class_id or class_id is null)").groupBy("class_id").agg(F.min("th").alias("th")).select(F.col("class_id").alias("doc_id"), "th")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one")
+    group = found.where("n_links > 0").groupBy("component").agg(least).select("one.doc_id", "one.th")
     keep = cut(single.withColumn("_one", F.lit(False)).unionByName(group.withColumn("_one", F.lit(True))).distinct())
     th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": th})

@@ -60,5 +60,14 @@ def test_against_all_pairs(spark):
     assert len(kept) == len(classes) and docs.columns == jaccard.distinct(docs).columns
 
 
+def test_one_row_of_each_class_that_shares_its_class_id(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = lambda t: t + " end"
+    rows = [(None, a), (None, near(a)), (None, b), (None, near(b)), (5, c), (7, near(c)), (5, d), (8, near(d)), (5, "alone")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [5, 5, 5] and {t for i, t in kept if i == 5} == {c, d, "alone"}
+    assert sorted(t[0] for i, t in kept if i is None) == ["a", "b"]
+
+
 def test_empty(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
