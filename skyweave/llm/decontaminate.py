@@ -2,8 +2,9 @@
 
 A test item that occurs in a text with at most e edits leaves at least one of
 its e + 1 pieces untouched. An Aho-Corasick automaton finds exact hits of all
-pieces in one pass over a text; around each hit Myers' bit-parallel recurrence
-computes the least edit distance to any stretch.
+pieces in one pass over a text; around each hit whose neighbouring piece can be
+there too, Myers' bit-parallel recurrence computes the least edit distance to
+any stretch.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from skyweave.session import ship
 
 from .common import text_of
 
+Q = 3
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -26,10 +28,14 @@ def normal(text: str) -> str:
     return _GAP.sub(" ", text.lower()).strip()
 
 
-def budget(length: int, rate: float, piece: int) -> int:
-    """Edits allowed for an item: ``rate`` of its length, but so few that
-    every piece has at least ``piece`` characters."""
-    return max(0, min(int(length * rate), length // piece - 1))
+def budget(length: int, rate: float, piece: int = 0) -> int:
+    """Edits allowed for an item: ``rate`` of its length. ``piece`` does not
+    lessen them: where they leave shorter pieces, those are searched."""
+    return int(length * rate)
+
+
+def grams(text: str) -> set[str]:
+    return {text[i : i + Q] for i in range(len(text) - Q + 1)}
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -38,6 +44,36 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(at, at[1:])]
 
 
+def beside(item: str, edits: int) -> list[tuple[int, str, int, str, str]]:
+    """``(at, piece, side, one, two)``: each piece with its neighbour in halves,
+    the neighbour after it where ``side`` is 1, before it where -1.
+
+    Pieces go in pairs. Were each pair spoiled twice, and a last piece without
+    a neighbour (``side`` 0) once, the edits would be more than ``edits``; so an
+    occurrence has a piece untouched whose neighbour has one edit at most."""
+    cut = pieces(item, edits)
+    out = []
+    for k, (at, p) in enumerate(cut):
+        side = 0 if k % 2 == 0 and k + 1 == len(cut) else 1 - k % 2 * 2
+        near = cut[k + side][1] if side else ""
+        out.append((at, p, side, near[: len(near) // 2], near[len(near) // 2 :]))
+    return out
+
+
+def goes_on(text: str, a: int, b: int, side: int, one: str, two: str) -> bool:
+    """Whether a piece at ``text[a:b]`` can have its neighbour with one edit at
+    most: one half is untouched, the near one in place or the far one shifted
+    by one at most."""
+    if side == 0:
+        return True
+    if side > 0:
+        return text.startswith(one, b) or text.find(two, b + len(one) - 1, b + len(one) + len(two) + 1) >= 0
+    if a >= len(two) and text.startswith(two, a - len(two)):
+        return True
+    far = a - len(two) - len(one)
+    return text.find(one, max(0, far - 1), max(0, far + len(one) + 1)) >= 0
+
+
 def nearest(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     """Least edit distance between a pattern of ``m`` characters and any
     stretch of ``text``, and where the first such stretch ends (Myers 1999)."""
@@ -65,11 +101,11 @@ class Matcher:
     def __init__(self, items: list[tuple], rate: float, piece: int):
         import ahocorasick
 
-        self.items, self.masks, self.edits = items, {}, [budget(len(t), rate, piece) for _, t in items]
+        self.items, self.masks, self.grams, self.edits = items, {}, {}, [budget(len(t), rate, piece) for _, t in items]
         owners: dict[str, list] = {}
         for k, (_, t) in enumerate(items):
-            for at, p in pieces(t, self.edits[k]):
-                owners.setdefault(p, []).append((k, at))
+            for at, p, *near in beside(t, self.edits[k]):
+                owners.setdefault(p, []).append((k, at, *near))
         self.auto = ahocorasick.Automaton()
         for p, who in owners.items():
             self.auto.add_word(p, (len(p), who))
@@ -84,8 +120,10 @@ class Matcher:
             return []
         where: dict[int, list[int]] = {}
         for last, (length, who) in self.auto.iter(text):
-            for k, at in who:
-                where.setdefault(k, []).append(last + 1 - length - at)
+            for k, at, side, one, two in who:
+                first = last + 1 - length
+                if goes_on(text, first, last + 1, side, one, two):
+                    where.setdefault(k, []).append(first - at)
         out = []
         for k in sorted(where):
             id_, item = self.items[k]
@@ -99,7 +137,7 @@ class Matcher:
                     masks: dict[str, int] = {}
                     for i, c in enumerate(item):
                         masks[c] = masks.get(c, 0) | 1 << i
-                    self.masks[k] = masks
+                    self.masks[k], self.grams[k] = masks, grams(item)
                 low = high = None
                 for d in [*sorted(where[k]), None]:
                     if d is not None and low is not None and d - e <= high:
@@ -107,9 +145,11 @@ class Matcher:
                         continue
                     if low is not None and best[0]:
                         low = max(0, low)
-                        distance, end = nearest(self.masks[k], m, text[low:high])
-                        if distance < best[0]:
-                            best = (distance, low, low + end)
+                        # An edit spoils at most Q of an item's grams.
+                        if len(self.grams[k] & grams(text[low:high])) >= len(self.grams[k]) - Q * e:
+                            distance, end = nearest(self.masks[k], m, text[low:high])
+                            if distance < best[0]:
+                                best = (distance, low, low + end)
                     if d is not None:
                         low, high = d - e, d + m + e
             if best[0] <= e:

@@ -51,6 +51,28 @@ def test_finds_what_brute_force_finds(spark):
     assert D.clean(table, spark.createDataFrame(items, "item_id long, text string")).where("doc_id in (0, 1, 4)").count() == 3
 
 
+def test_every_edit_of_the_rate_counts(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items, docs = [], []
+    for k, m in enumerate([7, 10, 15, 19, 23, 24, 36, 40, 57, 100, 394]):
+        item = "".join(rng.choice(letters) for _ in range(m))
+        items.append((k, item))
+        for n in (int(m * 0.1), int(m * 0.1) + 1):
+            text = list(item)
+            for at in range(n):
+                text[min(m - 1, m * (2 * at + 1) // (2 * n))] = "0"  # a digit in the middle of each of n stretches
+            docs.append((100 * k + n, "12345 " + "".join(text) + " 67890"))
+    found = D.match(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(found) == len(docs)
+    for r in found:
+        k, n = divmod(r["doc_id"], 100)
+        item = items[k][1]
+        near = distance(item, D.normal(r["text"]))
+        assert {m["item_id"]: m["distance"] for m in r["matches"]} == ({k: near} if near <= int(len(item) * 0.1) else {}), (item, n)
+        assert near == n
+
+
 def test_blocks_of_items_and_empty_tables(spark):
     items = spark.createDataFrame([(i, f"{i} {ITEM} {i}") for i in range(20)], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"7 {ITEM} 7")], "doc_id long, text string")
