@@ -8,6 +8,7 @@ for each member, so what leaves them grows with the members, not the pairs.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,26 @@ def deal(members: DataFrame, key: list[str], node: str, sizes: DataFrame, size:
     return out.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_o", "members")
 
 
+class Labels:
+    """Which of ``n`` members are tied together: ``of[k]`` is a member that all
+    tied to k share. A task has few members and many pairs, so ties are made
+    by arrays, one member with many at a time."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def tie(self, a: int, others: np.ndarray) -> list[tuple[int, int]]:
+        """Ties ``a`` to ``others``; returns the pairs that were not tied yet,
+        one for each set that joins."""
+        out = []
+        mine = self.of[others]
+        for label in np.unique(mine[mine != self.of[a]]).tolist():
+            out.append((int(a), int(others[np.flatnonzero(mine == label)[0]])))
+            low, high = sorted((label, int(self.of[a])))
+            self.of[self.of == high] = low
+        return out
+
+
 def roots(n: int, pairs: list[tuple[int, int]]) -> list[int]:
     """For each of ``n`` members, the least member it is tied to by ``pairs``."""
     up = list(range(n))

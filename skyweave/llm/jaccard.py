@@ -1,25 +1,30 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-A text is the set of its word five-grams. Each tree of the forest sorts the
-sets by a MinHash signature, as a prefix trie: sets whose signatures share a
-prefix stand together. Prefixes are shortened, from the trees' full depth, to
-the longest at which a pair at the threshold still meets with the target
-recall in one of the trees. What meets is verified exactly.
+A text is the set of its word five-grams. In each tree of the forest a set has
+a signature of ``DEEP`` MinHash values; sorted, the signatures are a prefix
+trie, and two sets meet at the longest prefix that they share in any tree.
+Sets that share the shortest prefix, ``SHALLOW`` values, are brought together
+and the length at which each pair meets is found; the number of trees is such
+that a pair at the threshold shares that much with the target recall. Prefixes
+are then shortened from full length until those longer ones bring the target
+recall of the pairs that seem similar. What meets is verified exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.session import ship
 
-from .blocks import deal, roots
+from .blocks import Labels, deal
 from .common import components, cut, grouped, keyed, same_row
 from .textbytes import LOWER, MIX, blocks, mixed, prefix, ranges, utf8, words
 
@@ -45,34 +50,39 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mixed(out), edges
 
 
-def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
-    """The longest prefix, shortened step by step from ``deepest``, at which a
-    pair at the threshold shares that prefix in some tree with probability
-    ``recall`` at least."""
-    for depth in range(deepest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+#: Values in a signature, and in the shortest prefix at which sets meet; a
+#: value has two bytes, so the latter is one word of 64 bits.
+DEEP, SHALLOW = 8, 4
 
 
-def prefixes(h: np.ndarray, edges: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """``[text, tree]``: a number for the first ``depth`` MinHash values of a
-    text in a tree. Texts must have a gram each."""
-    out = np.zeros((len(edges) - 1, trees), np.uint64)
+def trees_for(threshold: float, recall: float) -> int:
+    """Trees in which a pair at the threshold shares a prefix of ``SHALLOW``
+    values somewhere, with probability ``recall`` at least."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**SHALLOW))) if threshold < 1 else 1
+
+
+def signatures(h: np.ndarray, edges: np.ndarray, trees: int) -> np.ndarray:
+    """``[text, tree, value]``: two bytes of each MinHash value, high byte
+    first, so that bytes sort as values do. Texts must have a gram each."""
+    out = np.zeros((len(edges) - 1, trees, DEEP), ">u2")
     scratch = np.empty_like(h)
     for t in range(trees):
-        key = np.full(len(edges) - 1, t + 1, np.uint64) * MIX
-        for d in range(depth):
+        for d in range(DEEP):
             odd = mixed(np.array([t * 64 + d + 1], np.uint64) * MIX)[0] | np.uint64(1)
             np.multiply(h, odd, out=scratch)
-            key = mixed(key ^ np.minimum.reduceat(scratch, edges[:-1]))
-        out[:, t] = key
+            out[:, t, d] = mixed(np.minimum.reduceat(scratch, edges[:-1])) >> np.uint64(48)
     return out
 
 
-def signed(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``(doc_id, th, node, keys)``: ``node`` is a digest of the set of grams,
-    ``keys`` the prefixes; both null where a text has no words."""
+def _digest(grams: np.ndarray) -> bytes:
+    """128 bits of a sorted set of grams."""
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def signed(docs: DataFrame, trees: int) -> DataFrame:
+    """``(doc_id, th, node, sig)``: ``node`` is a digest of the set of grams,
+    ``sig`` the bytes of its signatures; both null where a text has no
+    words."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,20 +91,18 @@ def signed(docs: DataFrame, trees: int, depth: int) -> DataFrame:
             for i, j in blocks(offsets):
                 h, edges = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 some = np.flatnonzero(np.diff(edges) > 0)
-                node, keys = [None] * (j - i), [None] * (j - i)
+                node, sig = [None] * (j - i), [None] * (j - i)
                 if len(some):
-                    found = prefixes(h, np.append(edges[some], edges[-1]), trees, depth).view(np.int64)
+                    found = signatures(h, np.append(edges[some], edges[-1]), trees)
                     for k, row in zip(some.tolist(), found):
-                        mine = np.unique(h[edges[k] : edges[k + 1]])
-                        node[k] = int(mixed(np.array([mixed(mine * MIX).sum() + np.uint64(len(mine))]))[0].view(np.int64))
-                        keys[k] = row
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "node", "keys"])
+                        node[k], sig[k] = _digest(np.unique(h[edges[k] : edges[k + 1]])), row.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(node, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "th", "node", "sig"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, th long, node long, keys array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, th long, node binary, sig binary")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """``(group, node, copies, grams)`` of rows with ``text``: the sorted
+    """``(node, copies, sig, grams)`` of rows with ``text``: the sorted
     distinct grams of each text, as bytes of 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,46 +111,117 @@ def _sets(rows: DataFrame) -> DataFrame:
             for i, j in blocks(offsets):
                 h, edges = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 sets = [np.unique(h[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[i:j] for k in range(3)), pa.array(sets, pa.binary())], names=["group", "node", "copies", "grams"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[i:j] for k in range(3)), pa.array(sets, pa.binary())], names=["node", "copies", "sig", "grams"])
+
+    return rows.select("node", "copies", "sig", "text").mapInArrow(run, "node binary, copies long, sig binary, grams binary")
+
+
+class Trie:
+    """The signatures of a task's sets, for the length of the prefixes that
+    pairs share."""
+
+    def __init__(self, sigs: list[bytes]):
+        raw = np.frombuffer(b"".join(sigs), ">u2").reshape(len(sigs), -1, DEEP)
+        self.values = np.ascontiguousarray(raw.astype(np.uint16))
+        words = np.frombuffer(b"".join(sigs), ">u8").reshape(len(sigs), -1, 2).astype(np.uint64)
+        self.high, self.low = np.ascontiguousarray(words[:, :, 0]), np.ascontiguousarray(words[:, :, 1])
+
+    def met(self, a: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of set ``a`` with each of ``others``: the longest prefix shared, 0
+        if it is under ``SHALLOW``, the first tree that shares it, and the
+        share of equal values, which estimates the similarity."""
+        x = self.low[a] ^ self.low[others]
+        length = np.full(x.shape, SHALLOW, np.int8)
+        for bits in (48, 32, 16):
+            length += x < np.uint64(1 << bits)
+        length += x == 0
+        length[self.high[a] != self.high[others]] = 0
+        longest = length.max(1)
+        near = np.zeros(len(others))
+        some = np.flatnonzero(longest)
+        near[some] = (self.values[a] == self.values[others[some]]).mean((1, 2))
+        return longest, length.argmax(1), near
+
+
+def _meet(threshold: float, spread: float):
+    """Finds where the pairs of a task meet that seem similar. A pair is looked
+    at in the first tree of its longest prefix. Returns links from each set to
+    others, as few as tie together what is tied at each length of prefix, and
+    how many pairs meet at each length."""
 
-    return rows.select("group", "node", "copies", "text").mapInArrow(run, "group long, node long, copies long, grams binary")
+    def compare(g: dict[str, list]) -> Iterator[dict]:
+        own, tree, i, j = np.array(g["_b"]), g["tree"][0], g["_i"][0], g["_j"][0]
+        trie = Trie(g["sig"])
+        rights = np.flatnonzero(own == j)
+        lists: dict[int, list] = {}
+        pairs = np.zeros(DEEP + 1, np.int64)
+        for a in np.flatnonzero(own == i):
+            others = rights[rights > a] if i == j else rights
+            if not len(others):
+                continue
+            length, first, near = trie.met(a, others)
+            mine = (length > 0) & (first == tree)
+            pairs += np.bincount(length[mine & (near >= threshold - 3 * spread)], minlength=DEEP + 1)
+            keep = np.flatnonzero(mine & (near >= threshold - 6 * spread))
+            for d in np.unique(length[keep]).tolist():
+                lists.setdefault(d, []).append((a, others[keep[length[keep] == d]]))
+        labels = Labels(len(own))
+        out = [(d, x, y) for d in sorted(lists, reverse=True) for a, bs in lists[d] for x, y in labels.tie(a, bs)]
+        counts = [(d, n) for d, n in enumerate(pairs.tolist()) if n]
+        if out or counts:
+            yield {
+                "a": [g["node"][x] for _, x, _ in out] + [None] * len(counts),
+                "b": [g["node"][y] for _, _, y in out] + [None] * len(counts),
+                "length": [d for d, _, _ in out] + [d for d, _ in counts],
+                "pairs": [0] * len(out) + [n for _, n in counts],
+            }
+
+    return compare
 
 
-def _verify(threshold: float):
-    """Compares the two blocks of a task: exact overlaps of gram sets."""
+def _verify(threshold: float, spread: float, depth: int):
+    """Compares the two blocks of a task: exact overlaps of the gram sets of
+    pairs that meet, in a group of one tree only those whose first tree it
+    is."""
     part = Fraction(threshold).limit_denominator(10_000)
     p, q = part.numerator, part.denominator  # overlap / union >= p / q
 
     def compare(g: dict[str, list]) -> Iterator[dict]:
         # A row equal in id and text to another brings its node twice.
-        once = list(dict.fromkeys(g["node"]))
-        at = {n: k for k, n in reversed(list(enumerate(g["node"])))}
-        pick = [at[n] for n in once]
-        own = np.array([g["_b"][k] for k in pick])
-        copies = np.array([g["copies"][k] for k in pick])
+        pick = list({n: k for k, n in enumerate(g["node"])}.values())
+        own, copies = (np.array([g[c][k] for k in pick]) for c in ("_b", "copies"))
+        node = [g["node"][k] for k in pick]
         sets = [np.frombuffer(g["grams"][k], np.uint64) for k in pick]
-        i, j = g["_i"][0], g["_j"][0]
+        trie = Trie([g["sig"][k] for k in pick])
+        i, j, tree = g["_i"][0], g["_j"][0], g["tree"][0]
         size = np.array([len(s) for s in sets])
-        links, pairs = np.zeros(len(once), np.int64), []
-        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         edge = np.concatenate(([0], np.cumsum(size)))
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         rights = np.flatnonzero(own == j)
-        flat = ids if len(rights) == len(once) else np.concatenate([ids[edge[k] : edge[k + 1]] for k in rights])
-        starts = np.concatenate(([0], np.cumsum(size[rights])))[:-1]
         mark = np.zeros(ids.max() + 1, np.int32)
+        links, labels = np.zeros(len(node), np.int64), Labels(len(node))
         for a in np.flatnonzero(own == i):
+            others = rights[rights > a] if i == j else rights
+            if not len(others):
+                continue
+            length, first, near = trie.met(a, others)
+            keep = (length >= depth) & (near >= threshold - 6 * spread)
+            if tree >= 0:
+                keep &= first == tree
+            others = others[keep]
+            if not len(others):
+                continue
             mark[ids[edge[a] : edge[a + 1]]] = 1
-            both = np.add.reduceat(mark[flat], starts)
+            flat = np.concatenate([ids[edge[k] : edge[k + 1]] for k in others])
+            both = np.add.reduceat(mark[flat], np.concatenate(([0], np.cumsum(size[others])[:-1])))
             mark[ids[edge[a] : edge[a + 1]]] = 0
-            hit = rights[both * (p + q) >= p * (size[a] + size[rights])]
-            hit = hit[hit > a] if i == j else hit
+            hit = others[both * (p + q) >= p * (size[a] + size[others])]
             links[a] += copies[hit].sum()
             links[hit] += copies[a]
-            pairs.extend((int(a), int(b)) for b in hit)
+            labels.tie(a, hit)
         touched = np.flatnonzero(links)
         if len(touched):
-            root = roots(len(once), pairs)
-            yield {"node": [once[k] for k in touched], "links": links[touched].tolist(), "root": [once[root[k]] for k in touched]}
+            yield {"node": [node[k] for k in touched], "links": links[touched].tolist(), "root": [node[k] for k in labels.of[touched]]}
 
     return compare
 
@@ -152,7 +231,7 @@ def join(docs: DataFrame, **how) -> DataFrame:
     return classes(docs, **how).drop("component")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 20, deepest: int = 8, recall: float = 0.999, block: int = 512) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, block: int = 512, giant: int = 1 << 15) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, th, n_links, class_id,
     component``.
 
@@ -167,29 +246,46 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 20, deepest: i
     without words. ``th`` is the text's digest; other columns do not matter.
 
     Equal sets are taken together before anything is compared, so copies cost
-    nothing. Candidates are rows that meet the least row of a prefix; what is
-    connected that way is compared exactly within itself, in blocks of about
-    ``block`` texts when it is larger, so that every link between different
-    texts is found and counted once, and no task holds a large group."""
-    depth = depth_for(threshold, trees, deepest, recall)
-    slim = cut(signed(docs, trees, depth))
+    nothing. Sets that meet in the forest and whose signatures are not far
+    below the threshold make groups; a group is compared in blocks of about
+    ``block`` sets, and of its pairs only those that meet. A group of over
+    ``giant`` sets, which chains of loose likeness might make, is taken apart
+    again by tree and prefix, each pair being the first such tree's."""
+    trees = trees_for(threshold, recall)
+    spread = math.sqrt(threshold * (1 - threshold) / (trees * DEEP))  # of the estimate from signatures
+    slim = cut(signed(docs, trees))
     nodes = cut(
         slim.where("node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+        .agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     )
-    filed = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    heads = cut(filed.groupBy("tree", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("tree", "key", "head"))
-    met = filed.join(heads, ["tree", "key"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(met).select("node", F.col("component").alias("group"))
-    members = cut(nodes.join(groups, "node").select("node", "group", "copies", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")))
+    slim = slim.drop("sig")
+    width = 2 * DEEP
+    starts = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("sig"), t * width + 1, F.lit(2 * SHALLOW)))
+    filed = nodes.select("node", F.posexplode(starts).alias("tree", "prefix"))
+    shared = cut(filed.groupBy("tree", "prefix").agg(F.count("*").alias("members")).where("members > 1"))
+    filed = cut(deal(filed, ["tree", "prefix"], "node", shared, block))
+    sig = nodes.select("node", "sig")
+    met = cut(grouped(filed.join(sig, "node"), ["tree", "prefix", "_i", "_j"], _meet(threshold, spread), "a binary, b binary, length int, pairs long"))
+    counts = {r["length"]: r["n"] for r in met.where("a is null").groupBy("length").agg(F.sum("pairs").alias("n")).collect()}  # one row a length
+    depth, caught = DEEP, counts.get(DEEP, 0)
+    while depth > SHALLOW and caught < recall * sum(counts.values()):
+        depth -= 1
+        caught += counts.get(depth, 0)
+    groups = components(met.where((F.col("length") >= depth) & F.col("a").isNotNull()).select("a", "b")).select("node", F.col("component").alias("group"))
+    members = cut(nodes.join(groups, "node").select("node", "group", "copies", "sig", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")))
     rows = keyed(docs)
     # The same join at every size: one that turns with the members' number
     # would make the shuffle jump.
-    texts = rows.join(members.hint("shuffle_hash"), same_row(rows, members)).select("group", "node", "copies", "text")
-    sizes = members.groupBy("group").agg(F.count("*").alias("members"))
-    tasks = deal(_sets(texts), ["group"], "node", sizes, block)
-    found = cut(grouped(tasks, ["group", "_i", "_j"], _verify(threshold), "node long, links long, root long"))
+    sets = cut(_sets(rows.join(members.hint("shuffle_hash"), same_row(rows, members)).select("node", "copies", "sig", "text")).distinct())
+    sizes = cut(members.groupBy("group").agg(F.count("*").alias("members")))
+    place = members.select("node", "group").join(sizes, "group")
+    apart = place.where(F.col("members") > giant).select("node", "group").join(filed.select("node", "tree", "prefix").distinct(), "node")
+    place = place.where(F.col("members") <= giant).select("node", "group", F.lit(-1).alias("tree"), F.lit(b"").alias("prefix")).union(apart.select("node", "group", "tree", "prefix"))
+    key = ["group", "tree", "prefix"]
+    place = cut(place)
+    tasks = deal(place, key, "node", place.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1"), block)
+    found = cut(grouped(tasks.join(sets, "node"), [*key, "_i", "_j"], _verify(threshold, spread, depth), "node binary, links long, root binary"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     done = cut(nodes.select("node", "low", "copies").join(links, "node", "left").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node")))

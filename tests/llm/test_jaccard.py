@@ -32,8 +32,9 @@ def corpus():
 def test_against_all_pairs(spark):
     rows = corpus()
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, node int")
-    for block in (512, 7):
-        found = jaccard.join(docs, block=block).collect()
+    # At last, every group is a giant, taken apart by tree and prefix.
+    for how in ({}, {"block": 7}, {"block": 7, "giant": 2}):
+        found = jaccard.join(docs, **how).collect()
         assert len(found) == len(rows)
         sets = [grams(t) for _, t in rows]
         links, up = [0] * len(rows), list(range(len(rows)))
