@@ -7,18 +7,17 @@ sorted stably by the new symbol, and the common prefixes of neighbours are
 updated from those of the round before. Rounds are written one after another
 to an external file and read back in sequence to report what repeats.
 
-How pieces are found: of the K-byte grams in each window of ``length`` bytes,
-the one with the least digest is its anchor, so equal windows have equal
-anchors at equal places. Windows in a row with one anchor are a piece. Only
-pieces whose anchor occurs again are looked at; pieces equal as a whole repeat
-as a whole. An anchor with very many different pieces, such as a line that a
-third of all texts hold, is no key: its windows get a second anchor, the least
-gram at a distance from the first, and if need be a third and fourth.
+How pieces are found: of the K-byte grams in each window of bytes, the one
+with the least digest is its anchor, so equal windows have equal anchors at
+equal places. Windows in a row with one anchor are a piece. Only pieces whose
+anchor occurs again are looked at; pieces equal as a whole repeat as a whole.
+An anchor with very many different pieces, such as a line that a third of all
+texts hold, makes no group for one task: its windows are narrowed down by
+digests of what neighbouring windows share, counted over the whole table.
 """
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from skyweave.session import ship
 
 from .common import cut, keyed, same_row
-from .textbytes import blocks, mixed, prefix, ranges, runs, utf8
+from .textbytes import blocks, prefix, ranges, runs, utf8
 
 K = 64
 
@@ -67,79 +66,32 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     return first[start], count, anchor[start], h[anchor[start]]
 
 
-#: How far from its other anchors a further anchor stands, and how many a
-#: window has at most: with four, nothing of it is that far from all.
-APART, LEVELS = 100, 4
-
-
-def divided(h: np.ndarray, start: int, windows: int, anchors: tuple[int, ...], key: int, hot: list[np.ndarray], width: int) -> Iterator[tuple[int, int, int]]:
-    """``(start, windows, key)`` of the parts of a piece: while its key is hot,
-    runs of windows with equal further anchors. ``h`` holds the digests of all
-    grams, ``width`` is the number of grams in a window."""
-    level = len(anchors) - 1
-    mine = hot[level] if level < len(hot) else ()
-    at = np.searchsorted(mine, np.uint64(key)) if len(mine) else 0
-    if level + 1 >= LEVELS or at >= len(mine) or mine[at] != np.uint64(key):
-        yield start, windows, key
-        return
-    place = np.arange(start, start + windows - 1 + width)
-    value = (h[place] & np.uint64(0xFFFFFFFF00000000)) | (place - start).astype(np.uint64)
-    none = np.iinfo(np.uint64).max
-    for a in anchors:
-        value[np.abs(place - a) < APART] = none
-    low = least(value, width)
-    for s, c in zip(*(x.tolist() for x in runs(low))):
-        if low[s] == none:  # all of these windows are near an anchor
-            yield start + s, c, key
-            continue
-        further = start + int(low[s] & np.uint64(0xFFFFFFFF))
-        joint = int(mixed(np.array([key ^ (int(h[further]) * 3 + further - anchors[0]) & (1 << 64) - 1], np.uint64))[0])
-        yield from divided(h, start + s, c, (*anchors, further), joint, hot, width)
-
+PIECES = "doc_id long, th long, h long, dg long, start long, windows int, lead int, size int"
 
-PIECES = "doc_id long, th long, h long, dg long, start long, windows int, lead int"
 
-
-def listed(docs: DataFrame, length: int, hot: list[np.ndarray]) -> DataFrame:
-    """All pieces with the digests of anchor and whole; ``hot`` lists, level by
-    level, the keys that are too common."""
+def listed(docs: DataFrame, short: int, length: int) -> DataFrame:
+    """All pieces with the digests of anchor and whole. Windows have ``short``
+    bytes; a piece reaches as far as strings of ``length`` bytes that begin
+    with them, or to its text's end."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most 2**16 keys a level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column(2))
             for i, j in blocks(offsets):
                 part, inner = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                start, windows, anchor, h = pieces(part, inner, length)
-                if shared.value and len(start):
-                    start, windows, anchor, h = _divided(part, start, windows, anchor, h, shared.value, length)
+                start, windows, anchor, h = pieces(part, inner, short)
+                owner = np.searchsorted(inner, start, "right") - 1
+                ends = np.minimum(start + windows - 1 + length, inner[owner + 1])
                 raw = part.tobytes()
-                ends = start + windows - 1 + length
                 dg = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), ends.tolist())], np.uint64)
-                owner = np.searchsorted(inner, start, "right") - 1
                 take = pa.array(owner + i)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(dg.view(np.int64)), pa.array(start - inner[owner]), pa.array(windows.astype(np.int32)), pa.array((anchor - start).astype(np.int32))],
-                    names=["doc_id", "th", "h", "dg", "start", "windows", "lead"],
-                )
+                whole = [h.view(np.int64), dg.view(np.int64), start - inner[owner], windows.astype(np.int32), (anchor - start).astype(np.int32), (ends - start).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, whole)], names=[f.split()[0] for f in PIECES.split(", ")])
 
     return keyed(docs).mapInArrow(run, PIECES)
 
 
-def _divided(part: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, h: np.ndarray, hot: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
-    """The pieces with those of hot anchors in parts."""
-    common = np.isin(h, hot[0])
-    if not common.any():
-        return start, windows, anchor, h
-    grams = ranges(prefix(part), np.arange(len(part) - K + 1), np.arange(K, len(part) + 1))
-    parts = [(s, w, a, k) for i in np.flatnonzero(common) for a in [int(anchor[i])] for s, w, k in divided(grams, int(start[i]), int(windows[i]), (a,), int(h[i]), hot, length - K + 1)]
-    s, w, a, k = zip(*parts)
-    keep = ~common
-    join = lambda x, y, t: np.concatenate((x[keep], np.array(y, t)))
-    return join(start, s, np.int64), join(windows, w, np.int64), join(anchor, a, np.int64), join(h, k, np.uint64)
-
-
 def construct(frame: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Rounds ``(column, order, common)`` from the last column to the first:
     the pieces that reach the column, sorted in their group by what follows it,
@@ -187,10 +139,11 @@ def construct(frame: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.
         yield x, order, common
 
 
-def repeated(rows: list[dict], length: int) -> list[np.ndarray]:
-    """Of each piece, which of its windows occur in another piece of its
-    group. ``rows`` have ``h, lead, windows, bytes``."""
-    reach = length - K
+def repeated(rows: list[dict], short: int, length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each piece, which of its windows of ``short`` bytes occur in another
+    piece of its group, and which of those of ``length`` bytes. ``rows`` have
+    ``h, lead, windows, bytes``."""
+    reach = short - K
     lead = np.array([r["lead"] for r in rows])
     windows = np.array([r["windows"] for r in rows])
     size = np.array([len(r["bytes"]) for r in rows])
@@ -199,8 +152,8 @@ def repeated(rows: list[dict], length: int) -> list[np.ndarray]:
     frame = np.zeros((len(rows), int((first + size).max())), np.uint8)
     for k, r in enumerate(rows):
         frame[k, first[k] : first[k] + size[k]] = np.frombuffer(r["bytes"], np.uint8)
-    hits = [np.zeros(w, bool) for w in windows]
-    with tempfile.SpooledTemporaryFile(1 << 26) as file:  # this task's own; gone with it
+    found = [np.zeros(w, bool) for w in windows], [np.zeros(w, bool) for w in windows]
+    with tempfile.SpooledTemporaryFile(1 << 26) as file:  # this task's own, under a column of ``limit`` bytes; gone with it
         rounds = []
         for x, order, common in construct(frame, first, first + size - 1, group):
             file.write(order.astype(np.int32).tobytes())
@@ -209,20 +162,22 @@ def repeated(rows: list[dict], length: int) -> list[np.ndarray]:
         file.seek(0)
         for x, n in rounds:
             order, common = np.frombuffer(file.read(4 * n), np.int32), np.frombuffer(file.read(4 * n), np.int32)
-            long = common >= length
-            if long.any():
-                long[:-1] |= long[1:]
-                for k in order[long].tolist():
-                    at = x - first[k]
-                    if at < windows[k]:
-                        hits[k][at] = True
-    return hits
+            for hits, least_ in zip(found, (short, length)):
+                long = common >= least_
+                if long.any():
+                    long[:-1] |= long[1:]
+                    for k in order[long].tolist():
+                        at = x - first[k]
+                        if at < windows[k]:
+                            hits[k][at] = True
+    return found
 
 
-SPANS = "doc_id long, th long, a long, b long"
+SPANS = "doc_id long, th long, a long, b long, long boolean"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("long", pa.bool_())])
 
 
-def _reported(length: int, limit: int):
+def _reported(short: int, length: int, limit: int):
     """Streams groups in anchor order, gathers them up to ``limit`` bytes and
     reports the repeated stretches of pieces that occur once."""
 
@@ -231,16 +186,15 @@ def _reported(length: int, limit: int):
         volume = 0
 
         def work() -> pa.RecordBatch:
-            out = ([], [], [], [])
-            for r, hit in zip(held, repeated(held, length)):
-                if r["copies"] > 1:
-                    continue
-                start, count = runs(hit)
-                for s, c in zip(start.tolist(), count.tolist()):
-                    if hit[s]:
-                        for o, v in zip(out, (r["doc_id"], r["th"], r["start"] + s, r["start"] + s + c - 1 + length)):
-                            o.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["doc_id", "th", "a", "b"])
+            out: list[tuple] = []
+            for hits, size in zip(repeated(held, short, length), (short, length)):
+                for r, hit in zip(held, hits):
+                    if r["copies"] > 1:
+                        continue
+                    for s, c in zip(*(x.tolist() for x in runs(hit))):
+                        if hit[s]:
+                            out.append((r["doc_id"], r["th"], r["start"] + s, r["start"] + s + c - 1 + size, size == length))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, _SPANS)], schema=_SPANS)
 
         seen: set = set()
         last = None
@@ -263,32 +217,100 @@ def _reported(length: int, limit: int):
     return run
 
 
-def spans(docs: DataFrame, length: int = 400, limit: int = 4 << 20, group: int = 4096) -> DataFrame:
-    """``(doc_id, th, a, b)``: stretches of bytes, each a union of windows of
-    ``length`` bytes that occur elsewhere too, in the table or the same text.
-    They may overlap. A key with more than ``group`` kinds of pieces is
-    divided, and the texts are listed anew."""
-    whole = lambda df: df.select("doc_id", "th", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1 + length).alias("b"))
-    hot: list[np.ndarray] = []
-    while True:
-        every = cut(listed(docs, length, hot))
-        again = cut(every.groupBy("h").agg(F.count("*").alias("n"), F.min("dg").alias("x"), F.max("dg").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("mixed")))
-        mine = cut(every.join(again, "h"))
-        mixed_ = mine.where("mixed")
-        kinds = cut(mixed_.groupBy("h", "dg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "windows", "lead")).alias("one")))
-        size = kinds.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
-        # At most 2**16 keys have that many kinds each.
-        common = kinds.groupBy("h").count().where(F.col("count") > max(group, size["kinds"] >> 16)).select("h").toArrow()
-        if not common.num_rows or len(hot) + 1 >= LEVELS:
+#: How many neighbouring windows are judged together, round by round.
+CLASSES = (64, 8, 1)
+
+
+def _classes(short: int, size: int, step: int):
+    """For each class of ``step`` neighbouring columns in which a piece has
+    windows of ``size`` bytes: digests of all that these windows cover
+    (``whole``) and of what all windows of the class cover (``core``). With
+    ``up``, only the classes within those of the round before are looked at."""
+    wide = CLASSES[max(0, CLASSES.index(step) - 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in ("doc_id", "th", "start", "class", "a", "b", "whole", "core")}
+            for r in batch.to_pylist():
+                first = short - K - r["lead"]
+                end = first + min(r["windows"], len(r["bytes"]) - size + 1)  # columns of windows, end exclusive
+                up = None if r["up"] is None else set(r["up"])
+                for q in range(first // step, (end - 1) // step + 1) if end > first else ():
+                    if up is not None and q * step // wide not in up:
+                        continue
+                    x, y = max(first, q * step), min(end, (q + 1) * step) - 1
+                    key = b"%d %d %d %d %d " % (r["h"], size, step, x, y)
+                    whole = xxhash.xxh3_128_digest(key + r["bytes"][x - first : y - first + size])
+                    core = xxhash.xxh3_128_digest(b"core %d %d %d %d " % (r["h"], size, step, q) + r["bytes"][(q + 1) * step - 1 - first : q * step + size - first])
+                    for n, v in zip(out, (r["doc_id"], r["th"], r["start"], q, r["start"] + x - first, r["start"] + y - first + size, whole, core)):
+                        out[n].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if n in ("whole", "core") else pa.int64()) for n, v in out.items()], names=list(out))
+
+    return run
+
+
+def crowded(texts: DataFrame, short: int, size: int) -> DataFrame:
+    """Spans as in ``SPANS`` without ``long``: repeated windows of ``size``
+    bytes of the pieces ``texts``, whatever the number of pieces with one
+    anchor.
+
+    Windows at neighbouring columns are judged together: where all they cover
+    occurs in another piece, all of them repeat; where what each of them
+    covers does not, none does. Only what is left goes on to narrower classes,
+    at last to single windows. Digests are counted with map-side combining, so
+    a very common one crowds no task."""
+    piece = ["doc_id", "th", "start"]
+    state = texts.select(*piece, "h", "lead", "windows", "bytes", F.lit(None).cast("array<bigint>").alias("up"))
+    found = None
+    for step in CLASSES:
+        keys = cut(state.mapInArrow(_classes(short, size, step), "doc_id long, th long, start long, class long, a long, b long, whole binary, core binary"))
+        again = cut(keys.distinct().groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole", F.lit(True).alias("settled")))
+        judged = cut(keys.join(again, "whole", "left"))
+        hits = judged.where("settled").select("doc_id", "th", "a", "b")
+        found = hits if found is None else found.union(hits)
+        if step == CLASSES[-1]:
             break
-        hot.append(np.sort(common["h"].to_numpy().view(np.uint64)))
+        unsure = F.count_if(F.col("settled").isNull())
+        shared = cut(judged.distinct().groupBy("core").agg(F.count("*").alias("n"), unsure.alias("unsure")).where("n > 1 and unsure > 0").select("core"))
+        more = judged.join(shared, "core")
+        # What is settled goes on too, once for each content, for others to meet.
+        met = more.where("settled").groupBy("whole").agg(F.min(F.struct(*piece, "class")).alias("one")).select("one.*")
+        alive = more.where("settled is null").select(*piece, "class").union(met).groupBy(*piece).agg(F.collect_set("class").alias("up"))
+        one = state.drop("up").alias("s")
+        near = (F.col("s.th") == alive["th"]) & (F.col("s.start") == alive["start"]) & F.col("s.doc_id").eqNullSafe(alive["doc_id"])
+        state = one.join(alive, near).select("s.*", "up")
+    return found
+
+
+def spans(docs: DataFrame, length: int = 400, short: int | None = None, limit: int = 4 << 20, group: int = 1024) -> DataFrame:
+    """``(doc_id, th, a, b, long)``: stretches of bytes, each a union of
+    windows of ``length`` bytes (``long``) or of ``short`` that occur
+    elsewhere too, in the table or the same text. They may overlap. Anchors
+    with more than ``group`` kinds of pieces are left to :func:`crowded`."""
+    short = length if short is None else short
+    listing = listed(docs, short, length)
+    again = cut(listing.groupBy("h").agg(F.count("*").alias("n"), F.min("dg").alias("x"), F.max("dg").alias("y")).where("n > 1").select("h", (F.col("x") != F.col("y")).alias("mixed")))
+    # The pieces are listed twice rather than kept.
+    mine = cut(listing.join(again, "h"))
+    mixed_ = mine.where("mixed")
+    kinds = cut(mixed_.groupBy("h", "dg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "windows", "lead")).alias("one")))
+    rows_ = kinds.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    crowds = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > group).select("h", F.lit(True).alias("crowd")))
+
+    def whole(df: DataFrame) -> DataFrame:
+        span = lambda windows, size, long: F.struct(F.col("start").alias("a"), (F.col("start") + windows - 1 + size).alias("b"), F.lit(long).alias("long"))
+        both = F.array(span(F.col("windows"), short, False), span(F.least(F.col("windows"), F.col("size") - length + 1), length, True))
+        return df.select("doc_id", "th", F.inline(both)).where(F.col("b") - F.col("a") >= F.when(F.col("long"), length).otherwise(short))
+
     # Pieces with very many copies, at most 2**16 kinds, go to every task: by
     # their key, all their rows would meet in one.
     twice = kinds.where("copies > 1")
-    many = F.broadcast(twice.where(F.col("copies") > max(1000, size["rows"] >> 16)).select("h", "dg"))
-    few = twice.where(F.col("copies") <= max(1000, size["rows"] >> 16)).select("h", "dg")
+    bound = max(1000, rows_ >> 16)
+    many = F.broadcast(twice.where(F.col("copies") > bound).select("h", "dg"))
+    few = twice.where(F.col("copies") <= bound).select("h", "dg")
     copies = mixed_.join(many, ["h", "dg"], "left_semi").union(mixed_.join(many, ["h", "dg"], "left_anti").join(few, ["h", "dg"], "left_semi"))
-    wanted = kinds.select("one.doc_id", "one.th", F.struct("h", "dg", "copies", "one.start", "one.windows", "one.lead").alias("piece")).groupBy("doc_id", "th").agg(F.collect_list("piece").alias("pieces"))
+    asked = kinds.join(crowds, "h", "left").select("one.doc_id", "one.th", F.struct("h", "dg", "copies", "one.start", "one.windows", "one.lead", F.coalesce("crowd", F.lit(False)).alias("crowd")).alias("piece"))
+    wanted = asked.groupBy("doc_id", "th").agg(F.collect_list("piece").alias("pieces"))
     rows = keyed(docs)
     found = rows.join(wanted.hint("shuffle_hash"), same_row(rows, wanted)).select(rows["doc_id"], rows["th"], "text", "pieces")
 
@@ -298,52 +320,61 @@ def spans(docs: DataFrame, length: int = 400, limit: int = 4 << 20, group: int =
             for k, (doc_id, th, mine) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
                 text = data[offsets[k] : offsets[k + 1]].tobytes()
                 out = [dict(p, doc_id=doc_id, th=th, bytes=text[p["start"] : p["start"] + p["windows"] - 1 + length]) for p in mine]
-                yield pa.RecordBatch.from_pylist(out, schema=fetched)
-
-    fetched = pa.schema([("h", pa.int64()), ("dg", pa.int64()), ("copies", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("lead", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("bytes", pa.binary())])
-    texts = found.mapInArrow(fetch, "h long, dg long, copies long, start long, windows int, lead int, doc_id long, th long, bytes binary")
-    compared = texts.repartition("h").sortWithinPartitions("h").mapInArrow(_reported(length, limit), SPANS)
-    return whole(mine.where("not mixed")).union(whole(copies)).union(compared)
-
-
-def deduplicate(docs: DataFrame, length: int = 400, **how) -> DataFrame:
+                for lo in range(0, len(out), 10_000):
+                    yield pa.RecordBatch.from_pylist(out[lo : lo + 10_000], schema=fetched)
+
+    fetched = pa.schema([("h", pa.int64()), ("dg", pa.int64()), ("copies", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("lead", pa.int32()), ("crowd", pa.bool_()), ("doc_id", pa.int64()), ("th", pa.int64()), ("bytes", pa.binary())])
+    texts = found.mapInArrow(fetch, "h long, dg long, copies long, start long, windows int, lead int, crowd boolean, doc_id long, th long, bytes binary")
+    none = crowds.isEmpty()
+    if not none:
+        texts = cut(texts)
+    compared = texts.where("not crowd").repartition("h").sortWithinPartitions("h").mapInArrow(_reported(short, length, limit), SPANS)
+    out = whole(mine.where("not mixed")).union(whole(copies)).union(compared)
+    if not none:
+        crowd = texts.where("crowd").drop("crowd")
+        for size in sorted({short, length}):
+            out = out.union(crowded(crowd, short, size).withColumn("long", F.lit(size == length)))
+    return out
+
+
+def deduplicate(docs: DataFrame, length: int = 400, short: int | None = None, **how) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_bytes, n_removed,
-    n_spans, kept``.
+    n_spans, n_repeated, kept``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
     anywhere else in the table, the same text included; strings lie within
     one text and are judged on the input. ``n_spans`` counts the maximal runs
-    of removed bytes, ``kept`` is what stays. Null texts are empty; texts
-    shorter than ``length`` stay whole; of repeated rows each is the other's
-    repetition; other columns do not matter."""
-    found = cut(spans(docs, length, **how))
-    gone = found.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    of removed bytes, ``kept`` is what stays. ``n_repeated`` counts the bytes
+    that repeated strings of ``short`` bytes (not above ``length``, which it
+    is by default) cover: passages too short to be removed. Null texts are
+    empty; texts shorter than ``length`` stay whole; of repeated rows each is
+    the other's repetition; other columns do not matter."""
+    found = cut(spans(docs, length, short, **how))
+    gone = found.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "long")).alias("gone"))
     rows = keyed(docs)
     joined = rows.join(gone.hint("shuffle_hash"), same_row(rows, gone), "left").select(rows["doc_id"], "text", "gone")
 
+    def union(stretches: Iterator[tuple[int, int]]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for a, b in sorted(stretches):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column(1))
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
+            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "n_repeated": [], "kept": []}
             for k, stretches in enumerate(batch.column(2).to_pylist()):
                 text = data[offsets[k] : offsets[k + 1]].tobytes()
-                parts, at, n, removed = [], 0, 0, 0
-                for s in sorted((s["a"], s["b"]) for s in stretches or ()):
-                    if s[0] > at or n == 0:
-                        parts.append(text[at : s[0]])
-                        n += 1
-                        removed += s[1] - s[0]
-                        at = s[1]
-                    elif s[1] > at:
-                        removed += s[1] - at
-                        at = s[1]
-                parts.append(text[at:])
-                for c, v in zip(out, (len(text), removed, n, b"".join(parts))):
+                away = union((s["a"], s["b"]) for s in stretches or () if s["long"])
+                seen = union((s["a"], s["b"]) for s in stretches or ())
+                edges = [0, *(x for s in away for x in s), len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                for c, v in zip(out, (len(text), sum(b - a for a, b in away), len(away), sum(b - a for a, b in seen), kept)):
                     out[c].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], names=["doc_id", *out])
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[c], pa.int64()) for c in list(out)[:4]), pa.array(out["kept"], pa.binary())], names=["doc_id", *out])
 
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")

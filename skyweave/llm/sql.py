@@ -5,18 +5,23 @@
 REPEATED_STRINGS = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 parts AS (SELECT r, 1000 * c AS base, substr(h, 2000 * c + 1, 2798) AS p FROM (SELECT r, h, unnest(range(0, length(h) // 2000 + 1)) AS c FROM d)),
-w AS (SELECT r, base + j AS i, hash(substr(p, 2 * j - 1, 800)) AS k FROM (SELECT r, base, p, unnest(range(1, least(1000, length(p) // 2 - 399) + 1)) AS j FROM parts)),
-twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
-fresh AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS f FROM w WHERE k IN (SELECT k FROM twice)),
-numbered AS (SELECT r, i, sum(f) OVER (PARTITION BY r ORDER BY i) AS run FROM fresh),
-spans AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY r, run),
+w AS (
+  SELECT r, n, base + j AS i, hash(substr(p, 2 * j - 1, 2 * n)) AS k
+  FROM (SELECT r, n, base, p, unnest(range(1, least(1000, length(p) // 2 - n + 1) + 1)) AS j FROM parts, (VALUES (400), (300)) AS v(n))),
+twice AS (SELECT n, k FROM w GROUP BY n, k HAVING count(*) > 1),
+fresh AS (SELECT r, n, i, CASE WHEN i - lag(i) OVER (PARTITION BY r, n ORDER BY i) <= n THEN 0 ELSE 1 END AS f FROM w WHERE (n, k) IN (SELECT (n, k) FROM twice)),
+numbered AS (SELECT r, n, i, sum(f) OVER (PARTITION BY r, n ORDER BY i) AS run FROM fresh),
+every AS (SELECT r, n, min(i) AS a, max(i) + n AS b FROM numbered GROUP BY r, n, run),
+spans AS (SELECT r, a, b FROM every WHERE n = 400),
 edges AS (
   SELECT r, a AS upto, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS since FROM spans
   UNION ALL SELECT d.r, length(h) // 2 + 1, coalesce(max(b), 1) FROM d LEFT JOIN spans s ON s.r = d.r GROUP BY d.r, h),
 kept AS (SELECT e.r, string_agg(substr(h, 2 * since - 1, 2 * (upto - since)), '' ORDER BY upto, since) AS k FROM edges e JOIN d ON d.r = e.r GROUP BY e.r),
-gone AS (SELECT r, sum(b - a) AS n, count(*) AS spans FROM spans GROUP BY r)
-SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
-FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)
+gone AS (SELECT r, sum(b - a) AS n, count(*) AS spans FROM spans GROUP BY r),
+seen AS (SELECT r, sum(b - a) AS repeated FROM every WHERE n = 300 GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeated, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN gone USING (r) LEFT JOIN seen USING (r)
 """
 
 #: The Jaccard join: all texts that share a gram, compared.

@@ -33,10 +33,12 @@ def test_against_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, a int")
     expected = brute([r[1] for r in rows], 400)
     as_set = lambda x: sorted(map(str, x))
-    # Every key with two kinds of pieces or more counts as too common, too.
-    for group in (4096, 1):
-        found = columns.deduplicate(docs, group=group).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept")).collect()
-        assert as_set((r[0], *map(int, r[1:4]), bytes(r[4])) for r in found) == as_set((rows[i][0], *e) for i, e in enumerate(expected))
+    passages = brute([r[1] for r in rows], 300)
+    # Every anchor with two kinds of pieces or more counts as crowded, too.
+    for group, short in ((1024, None), (1024, 300), (1, 300)):
+        found = columns.deduplicate(docs, group=group, short=short).select("doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", F.col("kept")).collect()
+        wanted = ((rows[i][0], *e[:3], (passages[i] if short else e)[1], e[3]) for i, e in enumerate(expected))
+        assert as_set((r[0], *map(int, r[1:5]), bytes(r[5])) for r in found) == as_set(wanted)
     assert columns.deduplicate(docs.limit(0)).count() == 0
 
 
