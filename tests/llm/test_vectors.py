@@ -44,6 +44,30 @@ def test_against_all_pairs(spark):
         found = vectors.near(df, **how).collect()
         assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == brute(rows)
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
-    deep = vectors.near(df, leaf=32).collect()
-    assert sum(r["n_links"] for r in deep) >= 0.9 * sum(b[1] for b in brute(rows))
     assert vectors.near(df.limit(0)).count() == 0
+
+
+def test_recall_at_depth_ten(spark):
+    """Trees ten and more levels deep, of which the sample fits five: of the
+    links that all pairs of every row with a fixed share of the ids have, nine
+    in ten at least are found."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((5000, 64))
+    v = np.concatenate([base + rng.standard_normal(base.shape) * 0.2 * k / 3 for k in range(4)]).astype(np.float32)
+    n = len(v)
+    df = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    found = {r["vec_id"]: r["n_links"] for r in vectors.near(df, leaf=16, sample=3000).select("vec_id", "n_links").collect()}
+    asked = np.arange(0, n, 100)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    exact = (unit[asked] @ unit.T >= 0.93).sum(1) - 1
+    got = np.array([found[k] for k in asked])
+    assert (got <= exact).all() and exact.sum() > 300
+    recall = got.sum() / exact.sum()
+    print("recall at depth", int(np.ceil(np.log2(n / 16))), recall)
+    assert recall >= 0.9
+
+
+def test_null_ids(spark):
+    v = [float(k) for k in range(1, 9)]
+    df = spark.createDataFrame([(None, v, 1), (None, v[:-1] + [8.1], 1), (7, v, 2), (None, v, 2)], "vec_id long, embedding array<double>, label int")
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in vectors.near(df).collect()) == [("7", 1, "7"), ("None", 1, "7"), ("None", 1, "None"), ("None", 1, "None")]
