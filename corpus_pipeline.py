@@ -13,37 +13,56 @@ from pyspark.sql import functions as F
 from skyweave.llm import decontaminate, jaccard, language, mixing, secrets
 from skyweave.llm.common import cut, read
 
-#: A text whose language takes less than this share of all n-grams found is
-#: rejected: with four languages, chance gives a quarter.
-LEAST_SCORE = 0.3
+#: What counts as evidence against a language: so many n-grams at least, of
+#: which the language has under this share, or leads the next by under this
+#: share of both. None of it depends on how many languages there are.
+ENOUGH, LEAST_SHARE, LEAST_LEAD = 40, 0.03, 0.03
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts in one of the languages of the labelled documents, which
-    the filter is fitted on; ``lang`` becomes what was predicted. Texts
-    without a letter, or too evenly divided, go."""
+    the filter is fitted on; ``lang`` becomes what was predicted.
+
+    Texts that are null, empty or without a letter go. So do those with enough
+    n-grams of which hardly any belongs to a language, or as many to a second
+    one as to the first. A text too short to tell stays. Each row is judged by
+    itself: repeats stay, an empty table stays empty, other columns are kept."""
     found = language.predict(docs, language.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    both = F.col("n_best") + F.col("n_second")
+    none = (F.col("n_grams") >= ENOUGH) & (F.col("n_best") < LEAST_SHARE * F.col("n_grams"))
+    even = (both >= ENOUGH) & (F.col("n_best") - F.col("n_second") < LEAST_LEAD * both)
+    kept = found.where((F.col("lang_pred") != "und") & ~none & ~even)
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies: the least doc_id."""
+    """Keeps one document of each class of near copies: the least doc_id. Rows
+    equal in id and text are one class, as are equal texts; null and empty
+    texts and those without words are in no class and stay; null ids come
+    last. An empty table stays empty."""
     return jaccard.distinct(docs).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which an item of ``benchmark`` occurs."""
+    """Drops documents in which an item of ``benchmark`` occurs. Null and
+    empty texts and items match nothing; repeated rows share their fate; an
+    empty table on either side drops nothing."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with a mark in place of each secret; ``n_chars``
-    follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    follows the text and is null where that is. Columns named ``base`` or
+    ``spans`` do not get in the way."""
+    names = {c: f"_own_{c}" for c in docs.columns if c in ("base", "spans")}
+    done = secrets.redact(docs.withColumnsRenamed(names)).withColumn("n_chars", F.length("text").cast("long"))
+    return done.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: for each document the words it takes and its source's target."""
+    """The mix: for each document the words it takes and its source's target,
+    as ``mixing.mix`` names them; other columns end here. A null text has no
+    words, a null source is a source, repeated rows count each."""
     return mixing.mix(docs)
 
 
