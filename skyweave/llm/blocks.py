@@ -25,22 +25,22 @@ def deal(members: DataFrame, key: list[str], node: str, sizes: DataFrame, size:
 
 
 class Labels:
-    """Which of ``n`` members are tied together: ``of[k]`` is a member that all
-    tied to k share. A task has few members and many pairs, so ties are made
+    """Which of ``n`` members are tied together: ``of[k]`` is the least member
+    that is tied to k. A task has few members and many pairs, so ties are made
     by arrays, one member with many at a time."""
 
     def __init__(self, n: int):
         self.of = np.arange(n)
 
     def tie(self, a: int, others: np.ndarray) -> list[tuple[int, int]]:
-        """Ties ``a`` to ``others``; returns the pairs that were not tied yet,
-        one for each set that joins."""
+        """Ties ``a`` to ``others``; returns, for each set of tied members that
+        joins another, its least member and that of both."""
         out = []
         mine = self.of[others]
         for label in np.unique(mine[mine != self.of[a]]).tolist():
-            out.append((int(a), int(others[np.flatnonzero(mine == label)[0]])))
             low, high = sorted((label, int(self.of[a])))
             self.of[self.of == high] = low
+            out.append((high, low))
         return out
 
 

@@ -102,18 +102,20 @@ def signed(docs: DataFrame, trees: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """``(node, copies, sig, grams)`` of rows with ``text``: the sorted
-    distinct grams of each text, as bytes of 64-bit numbers."""
+    """``rows(node, copies, sig, tasks, text)`` with ``grams`` in place of the
+    text: its sorted distinct grams, as bytes of 64-bit numbers."""
+    names = ["node", "copies", "sig", "tasks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = utf8(batch.column(3))
+            offsets, data = utf8(batch.column(4))
             for i, j in blocks(offsets):
                 h, edges = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 sets = [np.unique(h[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[i:j] for k in range(3)), pa.array(sets, pa.binary())], names=["node", "copies", "sig", "grams"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[i:j] for k in range(4)), pa.array(sets, pa.binary())], names=[*names, "grams"])
 
-    return rows.select("node", "copies", "sig", "text").mapInArrow(run, "node binary, copies long, sig binary, grams binary")
+    kinds = dict(rows.dtypes)
+    return rows.select(*names, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", grams binary")
 
 
 class Trie:
@@ -145,13 +147,16 @@ class Trie:
 
 def _meet(threshold: float, spread: float):
     """Finds where the pairs of a task meet that seem similar. A pair is looked
-    at in the first tree of its longest prefix. Returns links from each set to
-    others, as few as tie together what is tied at each length of prefix, and
-    how many pairs meet at each length."""
+    at in the first tree of its longest prefix. Returns links, as few as tie
+    together what is tied at each length of prefix, each to the least set that
+    is tied by then, so that other tasks return the same; and how many pairs
+    meet at each length."""
 
     def compare(g: dict[str, list]) -> Iterator[dict]:
-        own, tree, i, j = np.array(g["_b"]), g["tree"][0], g["_i"][0], g["_j"][0]
-        trie = Trie(g["sig"])
+        order = sorted(range(len(g["node"])), key=g["node"].__getitem__)
+        node, own = [g["node"][k] for k in order], np.array([g["_b"][k] for k in order])
+        tree, i, j = g["tree"][0], g["_i"][0], g["_j"][0]
+        trie = Trie([g["sig"][k] for k in order])
         rights = np.flatnonzero(own == j)
         lists: dict[int, list] = {}
         pairs = np.zeros(DEEP + 1, np.int64)
@@ -170,8 +175,8 @@ def _meet(threshold: float, spread: float):
         counts = [(d, n) for d, n in enumerate(pairs.tolist()) if n]
         if out or counts:
             yield {
-                "a": [g["node"][x] for _, x, _ in out] + [None] * len(counts),
-                "b": [g["node"][y] for _, _, y in out] + [None] * len(counts),
+                "a": [node[x] for _, x, _ in out] + [None] * len(counts),
+                "b": [node[y] for _, _, y in out] + [None] * len(counts),
                 "length": [d for d, _, _ in out] + [d for d, _ in counts],
                 "pairs": [0] * len(out) + [n for _, n in counts],
             }
@@ -272,20 +277,21 @@ def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, blo
     while depth > SHALLOW and caught < recall * sum(counts.values()):
         depth -= 1
         caught += counts.get(depth, 0)
-    groups = components(met.where((F.col("length") >= depth) & F.col("a").isNotNull()).select("a", "b")).select("node", F.col("component").alias("group"))
-    members = cut(nodes.join(groups, "node").select("node", "group", "copies", "sig", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")))
-    rows = keyed(docs)
-    # The same join at every size: one that turns with the members' number
-    # would make the shuffle jump.
-    sets = cut(_sets(rows.join(members.hint("shuffle_hash"), same_row(rows, members)).select("node", "copies", "sig", "text")).distinct())
-    sizes = cut(members.groupBy("group").agg(F.count("*").alias("members")))
-    place = members.select("node", "group").join(sizes, "group")
+    groups = components(met.where((F.col("length") >= depth) & F.col("a").isNotNull()).select("a", "b").distinct()).select("node", F.col("component").alias("group"))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
+    place = cut(groups.join(sizes, "group"))
     apart = place.where(F.col("members") > giant).select("node", "group").join(filed.select("node", "tree", "prefix").distinct(), "node")
     place = place.where(F.col("members") <= giant).select("node", "group", F.lit(-1).alias("tree"), F.lit(b"").alias("prefix")).union(apart.select("node", "group", "tree", "prefix"))
     key = ["group", "tree", "prefix"]
-    place = cut(place)
     tasks = deal(place, key, "node", place.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1"), block)
-    found = cut(grouped(tasks.join(sets, "node"), [*key, "_i", "_j"], _verify(threshold, spread, depth), "node binary, links long, root binary"))
+    tasks = tasks.groupBy("node").agg(F.collect_list(F.struct(*key, "_i", "_j", "_b")).alias("tasks"))
+    members = cut(nodes.join(tasks, "node").select("node", "copies", "sig", "tasks", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")))
+    rows = keyed(docs)
+    # The same join at every size: one that turns with the members' number
+    # would make the shuffle jump.
+    sets = _sets(rows.join(members.hint("shuffle_hash"), same_row(rows, members)).select("node", "copies", "sig", "tasks", "text"))
+    dealt = sets.select("node", "copies", "sig", "grams", F.inline("tasks"))
+    found = cut(grouped(dealt, [*key, "_i", "_j"], _verify(threshold, spread, depth), "node binary, links long, root binary"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     done = cut(nodes.select("node", "low", "copies").join(links, "node", "left").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node")))
