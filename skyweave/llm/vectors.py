@@ -95,7 +95,7 @@ def fit(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int, lea
 
 
 def near(
-    table: DataFrame, threshold: float = 0.93, trees: int = 12, leaf: int = 2048, spill: float = 0.1, sample: int = 20_000, block: int = 1024, seed: int = 7
+    table: DataFrame, threshold: float = 0.93, trees: int = 12, leaf: int = 256, spill: float = 0.1, sample: int = 20_000, block: int = 1024, seed: int = 7
 ) -> DataFrame:
     """One row for each row of ``table(vec_id, embedding, label)``: ``vec_id,
     n_links, component_id, kept``.
@@ -152,24 +152,35 @@ def near(
                 edges = np.searchsorted(row, np.arange(len(at) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(leaf_id))
                 unit = pa.array([v.tobytes() for v in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1)), unit, batch.column(3).take(take), lists], names=["node", "label", "unit", "copies", "leaves"])
+                known_ = pa.array([leaf_id[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1)), unit, batch.column(3).take(take), lists, known_], names=["node", "label", "unit", "copies", "leaves", "known"])
 
     kind = dict(copies.dtypes)["label"]
     deep = copies.join(labels.select("label", "depth"), "label").select("node", "label", "embedding", "copies", "depth")
-    filed = cut(deep.mapInArrow(file, f"node binary, label {kind}, unit binary, copies long, leaves array<long>"))
+    filed = cut(deep.mapInArrow(file, f"node binary, label {kind}, unit binary, copies long, leaves array<long>, known binary"))
     key = ["label", "leaf", "dim"]
     slight = filed.select("node", "label", F.explode("leaves").alias("leaf"), F.octet_length("unit").alias("dim"))
     tasks = deal(slight, key, "node", slight.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1"), block)
-    tasks = tasks.join(filed.select("node", "unit", "copies", "leaves"), "node")
+    tasks = tasks.join(filed.select("node", "unit", "copies", "known"), "node")
 
     def compare(g: dict[str, list]) -> Iterator[dict]:
         own, n = np.array(g["_b"]), len(g["node"])
         i, j, here = g["_i"][0], g["_j"][0], g["leaf"][0]
         x = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(n, -1)
         copies_ = np.array(g["copies"])
-        leaves = np.full((n, max(map(len, g["leaves"]))), -1, np.int64)
-        for k, v in enumerate(g["leaves"]):
-            leaves[k, : len(v)] = v
+
+        def first_shared(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            """The first leaf of each u that v has too; lists are sorted."""
+            some, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+            lists = [np.frombuffer(g["known"][k], np.int64) for k in some]
+            table = np.full((len(some), max(map(len, lists))), -1, np.int64)
+            for k, x_ in enumerate(lists):
+                table[k, : len(x_)] = x_
+            p_, q_ = table[at[: len(u)]], table[at[len(u) :]]
+            both = (p_[:, :, None] == q_[:, None, :]).any(2) & (p_ >= 0)
+            return p_[np.arange(len(u)), np.argmax(both, 1)]
+
+        here_only = all(len(b) == 8 for b in g["known"])
         links, tied = np.zeros(n, np.int64), Labels(n)
         lefts = np.flatnonzero(own == i)
         rights = np.flatnonzero(own == j)
@@ -183,10 +194,9 @@ def near(
                 u, v = p[lo : lo + (1 << 14)], q[lo : lo + (1 << 14)]
                 exact = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
                 u, v = u[exact], v[exact]
-                # Lists are sorted: the first leaf of u that v has too.
-                both = (leaves[u][:, :, None] == leaves[v][:, None, :]).any(2) & (leaves[u] >= 0)
-                first = leaves[u, np.argmax(both, 1)] == here
-                u, v = u[first], v[first]
+                if not here_only and len(u):
+                    mine = first_shared(u, v) == here
+                    u, v = u[mine], v[mine]
                 np.add.at(links, u, copies_[v])
                 np.add.at(links, v, copies_[u])
                 for k in np.unique(u):
