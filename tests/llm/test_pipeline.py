@@ -30,6 +30,33 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, current.collect()))
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, null ids, repeated rows, a very long text, and columns
+    with names that stages use inside."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["th", "ing", "er", "wh", "tion"]) for _ in range(rng.randint(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    twice = (7, text(60), "en", "a", 1, "x", "y", 1.0)
+    rows = [(i, text(50), "en", "a", 1, "x", "y", 1.0) for i in range(6)] + [twice, twice, (None, text(60), "en", None, 1, "x", "y", 1.0), (None, text(70), None, "b", None, None, None, None)]
+    rows += [(20, text(120_000), "en", "b", 1, "x", "y", 1.0), (21, "", "en", "b", 0, "x", "y", 1.0), (22, None, None, None, None, None, None, None), (23, "Thtion.", None, "b", 7, "x", "y", 1.0)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, base string, spans string, score double"
+    docs = spark.createDataFrame(rows, kind)
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    current = docs
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, docs.limit(0), str(tmp_path))
+        assert nothing.count() == 0
+        current = common.cut(stage(spark, current, str(tmp_path)))
+        kept.append(sorted(str(r["doc_id"]) for r in current.collect()))
+        if stage is not corpus_pipeline.mixed:
+            assert current.columns == docs.columns == nothing.columns
+            assert current.where("doc_id is not null and doc_id < 6 and not (base <=> 'x' and spans <=> 'y')").count() == 0
+    every = sorted(str(r[0]) for r in rows)
+    assert kept[0] == [x for x in every if x not in ("21", "22")]
+    assert kept[1] == [x for k, x in enumerate(kept[0]) if x != "7" or kept[0].index("7") == k] == kept[2] == kept[3] == kept[4]
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
