@@ -39,6 +39,18 @@ def period_start(d: Column, res: str) -> Column:
     raise ValueError(f"no period of resolution {res!r}")
 
 
+def period_end(d: Column, res: str) -> Column:
+    """The last day of the period that ``d`` falls into."""
+    start = period_start(d, res)
+    if res == "daily":
+        return start
+    if res == "annual":
+        return F.date_sub(F.add_months(start, 12), 1)
+    if res == "monthly":
+        return F.last_day(start)
+    return F.when(F.day(start) == 21, F.last_day(start)).otherwise(F.date_add(start, 9))
+
+
 def label(start: Column, res: str, length: int = 3) -> Column:
     """The name of the period that begins at ``start``."""
     if res == "daily":

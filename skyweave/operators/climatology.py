@@ -90,23 +90,24 @@ def trend(series: DataFrame, keys: list[str], value: str, first_year: int, last_
     x, y = (F.col("year") - first_year).cast("double"), F.col(value)
     count = last_year - first_year + 1
     mean_x, var_x = (count - 1) / 2, count * (count + 1) / 12
+    # Centred sums: raw ones cancel where the mean is large.
     sums = series.where(F.col("year").between(first_year, last_year) & y.isNotNull()).groupBy(*keys).agg(
-        F.count(y).alias("n"), F.avg(y).alias("my"), F.sum(x * y).alias("xy"), F.sum(x).alias("sx"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(y).alias("sy")
+        F.count(y).alias("n"), F.avg(y).alias("my"), F.avg(x).alias("mx"), F.covar_samp(x, y).alias("_cov"), F.var_samp(y).alias("var_y"), F.var_samp(x).alias("var_own")
     )
     n = F.col("n")
     ok = (n >= min_years) & (n >= 3)
-    step = sums.withColumn("cov", F.when(ok, (F.col("xy") - F.col("my") * F.col("sx") - mean_x * (F.col("sy") - n * F.col("my"))) / (n - 1)))
+    step = sums.withColumn("cov", F.when(ok, F.col("_cov")))
     step = step.withColumn("slope", F.col("cov") / var_x).withColumn("intercept", F.col("my") - F.col("slope") * mean_x)
-    b, a = F.col("slope"), F.col("intercept")
-    sse = F.col("yy") - 2 * a * F.col("sy") - 2 * b * F.col("xy") + n * a * a + 2 * a * b * F.col("sx") + b * b * F.col("xx")
+    b = F.col("slope")
+    off = F.col("mx") - mean_x
+    sse = (n - 1) * (F.col("var_y") - 2 * b * F.col("cov") + b * b * F.col("var_own")) + n * b * b * off * off
     step = step.withColumn("sigma", F.sqrt(F.greatest(sse, F.lit(0.0)) / (n - 2)))
     step = step.withColumn("std_slope", F.col("sigma") / ((count - 1) * var_x) ** 0.5)
     step = step.withColumn("std_intercept", F.col("sigma") * F.sqrt(1 / n + mean_x**2 / ((count - 1) * var_x)))
     for k in ("slope", "intercept"):
         step = step.withColumn(f"t_value_{k}", F.try_divide(F.col(k), F.col(f"std_{k}")))
         step = step.withColumn(f"p_value_{k}", two_sided_t(F.col(f"t_value_{k}"), n - 2))
-    var_y = (F.col("yy") - n * F.col("my") * F.col("my")) / (n - 1)
-    step = step.withColumn("r2", F.try_divide(F.col("cov") * F.col("cov"), var_x * var_y))
+    step = step.withColumn("r2", F.try_divide(F.col("cov") * F.col("cov"), var_x * F.col("var_y")))
     scale = {"perYear": F.lit(1.0), "overPeriod": n.cast("double"), "percPeriod": F.try_divide(100.0 * n, F.col("my"))}[unit]
     step = step.withColumn("slope", b * scale)
     return step.select(*keys, "n", *[m.replace(".", "_").replace("-", "_") for m in METRICS])

@@ -19,6 +19,13 @@ def tmean(tmin: DataFrame, tmax: DataFrame) -> DataFrame:
     return both.withColumn("tmean", (F.col("tmin") + F.col("tmax")) / 2)
 
 
+def trange(tmin: DataFrame, tmax: DataFrame) -> DataFrame:
+    """The daily range, on all times that either has; missing if one is, and 0
+    where the two are the wrong way round."""
+    both = tmin.select("time", *CELL, "tmin").join(tmax.select("time", *CELL, "tmax"), ["time", *CELL], "full_outer")
+    return both.withColumn("trange", F.when(F.col("tmin").isNotNull() & F.col("tmax").isNotNull(), F.greatest(F.col("tmax") - F.col("tmin"), F.lit(0.0))))
+
+
 def radiation(doy: Column, lat: Column) -> Column:
     """Extraterrestrial radiation at latitude ``lat`` in degrees, MJ/m2/day.
     Where the sun does not set or rise, the hour angle is clipped."""
@@ -42,6 +49,9 @@ def radiation_on(time: Column, lat: Column, res: str = "daily") -> Column:
     return radiation(C.slot(day, "daily"), lat)
 
 
+# The coefficients of the two forms of evapotranspiration and of radiation.
+
+
 def et0_modified(tmin: Column, tmax: Column, precip: Column, ra: Column, res: str = "daily") -> Column:
     """Reference evapotranspiration, modified Hargreaves with rain; monthly
     and coarser steps have coefficients of their own."""
@@ -58,11 +68,8 @@ def et0_fao(tmin: Column, tmax: Column, ra: Column) -> Column:
 
 
 def et0_inputs(tmin: DataFrame, tmax: DataFrame, precip: DataFrame) -> DataFrame:
-    """The three on the times and cells that all have; raises if none is."""
-    out = tmax.select("time", *CELL, "lat", "lon", "tmax").join(tmin.select("time", *CELL, "tmin"), ["time", *CELL]).join(precip.select("time", *CELL, "precip"), ["time", *CELL])
-    if out.isEmpty():
-        raise ValueError("the inputs have no time in common")
-    return out
+    """The three on the times and cells that all have, none where none is."""
+    return tmax.select("time", *CELL, "lat", "lon", "tmax").join(tmin.select("time", *CELL, "tmin"), ["time", *CELL]).join(precip.select("time", *CELL, "precip"), ["time", *CELL])
 
 
 def regrid(obs: DataFrame, target: DataFrame, value: str, lat0: float, lon0: float, dlat: float, dlon: float, by: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions import calendar as C
@@ -27,6 +27,20 @@ def assign_period(obs: DataFrame, res: str, season_start: int = 1, length: int =
     return obs.where(into < length).withColumn("period", F.add_months(C.month_start(F.col("time")), -into))
 
 
+#: Days of an output period at most.
+LONGEST = {"pentadal": 6, "dekadal": 11, "monthly": 31, "annual": 366}
+
+
+def _steps(rows: DataFrame, longest: int) -> tuple[list[Column], Column]:
+    """Aggregates that note which days of its period a group has, as bits of
+    ``_b0, _b1, …``, and the number of days that any group of a period has:
+    the distinct times, without reading the rows a second time."""
+    words = range(-(-longest // 62))
+    bits = [F.expr(f"bit_or(if(_off div 62 = {k}, shiftleft(1L, cast(_off % 62 as int)), 0L))").alias(f"_b{k}") for k in words]
+    every = Window.partitionBy("period")
+    return bits, sum((F.bit_count(F.bit_or(f"_b{k}").over(every)) for k in words), F.lit(0))
+
+
 def resample(
     obs: DataFrame,
     keys: list[str],
@@ -57,10 +71,11 @@ def resample(
     the input has a time for but the key no value."""
     rows = assign_period(obs.withColumn(value, nan_to_null(F.col(value).cast("double"))), res, **season)
     length = season.get("length", 3)
-    have = rows.groupBy("period").agg(F.count_distinct("time").alias("_steps"))
     v = F.col(value)
-    out = rows.groupBy(*keys, "period").agg(F.count(v).alias("n_valid"), reducer(function, v, op, threshold).alias("_value"))
-    out = out.join(have, "period").withColumn("_expected", C.steps(F.col("period"), res, in_res, length))
+    bits, steps = _steps(rows, 31 * length if res == "seasonal" else LONGEST.get(res, 366))
+    rows = rows.withColumn("_off", F.date_diff("time", "period"))
+    out = rows.groupBy(*keys, "period").agg(F.count(v).alias("n_valid"), reducer(function, v, op, threshold).alias("_value"), *bits)
+    out = out.withColumn("_steps", steps).withColumn("_expected", C.steps(F.col("period"), res, in_res, length))
     out = out.where(F.col("_steps") / F.col("_expected") >= min_frac)
     full, nulls = F.col("n_valid") / F.col("_expected"), F.col("_steps") - F.col("n_valid")
     good: Column = {

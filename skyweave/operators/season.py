@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyweave.functions import calendar as C
 
-#: Which variables an index is made of.
+#: Fixed names: which variables an index is made of.
 VARIABLES = {
     "TotRain": ("precip",), "RainInt": ("precip",), "NumWD": ("precip",), "NumDD": ("precip",), "NumDS": ("precip",), "NumWS": ("precip",),
     "LongDS": ("precip",), "LongWS": ("precip",), "MinTemp": ("tmin",), "NumCD": ("tmin",), "MaxTemp": ("tmax",), "NumHD": ("tmax",),
@@ -42,29 +42,47 @@ def season_days(obs: DataFrame, season: Season) -> DataFrame:
     return obs.where(C.in_season(F.col("time"), season.first, season.last)).withColumn("season_year", C.season_year(F.col("time"), season.first, season.last))
 
 
-def dense(obs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """A row for every key and day between the first and last day of all;
-    days without an observation have null values."""
-    span = obs.agg(F.min("time").alias("a"), F.max("time").alias("b"))
-    calendar = span.select(F.explode(C.days(F.col("a"), F.col("b"))).alias("time"))
-    grid = obs.select(*keys).distinct().join(calendar)
-    return grid.join(obs.select(*keys, "time", *values), [*keys, "time"], "left")
+def _value(name: str):
+    parts = VARIABLES[name]
+    return (F.col(parts[0]) if len(parts) == 1 else (F.col("tmin") + F.col("tmax")) / 2).cast("double")
+
+
+def _judged(per: DataFrame, keys: list[str], season: Season, span: DataFrame, empty: float | None) -> DataFrame:
+    """``(keys…, season_year, n_valid, value)`` for every key and season of
+    which ``span(_a, _b)``, one row, holds a day. ``per`` has a key's seasons
+    that hold a row; a key has few, which are laid out in one array."""
+    entries = F.collect_list(F.struct("season_year", "n_valid", "_value")).alias("_per")
+    rows = per.groupBy(*keys).agg(entries).join(F.broadcast(span)).withColumn("season_year", F.explode(F.sequence(F.year("_a") - 1, F.year("_b"))))
+    start, end = C.season_span(F.col("season_year"), season.first, season.last)
+    own = F.try_element_at(F.filter("_per", lambda s: s["season_year"] == F.col("season_year")), F.lit(1))
+    rows = rows.withColumns({"_days": F.date_diff(F.least("_b", end), F.greatest("_a", start)) + 1, "_own": own}).where("_days > 0")
+    n_valid = F.coalesce(F.col("_own.n_valid"), F.lit(0)).cast("long")
+    whole = C.season_length(F.col("season_year"), season.first, season.last)
+    good = (F.col("_days") / whole >= season.min_frac) & (n_valid / whole >= season.min_frac)
+    value = F.when(F.col("_own").isNull(), F.lit(empty).cast("double")).otherwise(F.col("_own._value"))
+    return rows.select(*keys, "season_year", n_valid.alias("n_valid"), F.when(good, value).alias("value"))
 
 
-def index(days: DataFrame, keys: list[str], name: str, season: Season) -> DataFrame:
-    """``(keys…, season_year, n_valid, value)`` of index ``name`` from
-    ``days(keys…, time, variables…)``, a row for every day.
+def span_of(obs: DataFrame) -> DataFrame:
+    """The first and last day of all, ``(_a, _b)``."""
+    return obs.agg(F.min("time").alias("_a"), F.max("time").alias("_b"))
+
 
-    Null unless the season's days, and those with a value, make up
-    ``min_frac`` of it. Spells are runs of days that are wet (at or above the
-    threshold) or dry (below); a null day ends a run, and so does the season.
-    ``NumDS`` and ``NumWS`` count how many times ``spell`` days fit into the
-    runs, ``LongDS`` and ``LongWS`` give the longest."""
+def index(obs: DataFrame, keys: list[str], name: str, season: Season) -> DataFrame:
+    """``(keys…, season_year, n_valid, value)`` of index ``name`` from
+    ``obs(keys…, time, variables…)``; days may be absent, and are as days
+    without a value from the first to the last day of all. Keys without a row
+    in any season are left out.
+
+    Null unless the season's days up to the last of all, and those with a
+    value, make up ``min_frac`` of it. Spells are runs of days that are wet (at
+    or above the threshold) or dry (below); a null or absent day ends a run,
+    and so does the season. ``NumDS`` and ``NumWS`` count how many times
+    ``spell`` days fit into the runs, ``LongDS`` and ``LongWS`` give the
+    longest."""
     if name not in VARIABLES:
         raise ValueError(f"no index {name!r}")
-    parts = VARIABLES[name]
-    value = F.col(parts[0]) if len(parts) == 1 else (F.col("tmin") + F.col("tmax")) / 2
-    rows = season_days(days, season).select(*keys, "season_year", "time", value.cast("double").alias("v"))
+    rows = season_days(obs, season).select(*keys, "season_year", "time", _value(name).alias("v"))
     group = [*keys, "season_year"]
     v, thr = F.col("v"), season.threshold
     wet = v >= thr
@@ -85,29 +103,25 @@ def index(days: DataFrame, keys: list[str], name: str, season: Season) -> DataFr
         "HDD": lambda: over(season.base - v),
     }
     if name in made:
-        out = rows.groupBy(*group).agg(F.count("*").alias("_days"), F.count(v).alias("n_valid"), made[name]().alias("_value"))
+        per = rows.groupBy(*group).agg(F.count(v).alias("n_valid"), made[name]().alias("_value"))
     else:
         hit = F.coalesce(wet if name.endswith("WS") else v < thr, F.lit(False))
         order = Window.partitionBy(*group).orderBy("time")
-        # A run is what lies between two days that are no hits.
-        runs = rows.withColumn("_hit", hit).withColumn("_run", F.count_if(~F.col("_hit")).over(order))
-        runs = runs.groupBy(*group, "_run").agg(F.count_if("_hit").alias("_length"), F.count("*").alias("_days"), F.count(v).alias("_valid"))
+        # Of days that follow each other, the day's number less that of hits so far is the same.
+        runs = rows.withColumn("_hit", hit).withColumn("_run", F.when(F.col("_hit"), F.unix_date("time") - F.count_if(F.col("_hit")).over(order)))
+        runs = runs.groupBy(*group, "_run").agg(F.count_if("_hit").alias("_length"), F.count(v).alias("_valid"))
         length = F.col("_length")
         pick = F.sum(F.floor(length / season.spell)) if name.startswith("Num") else F.max(length)
-        out = runs.groupBy(*group).agg(F.sum("_days").alias("_days"), F.sum("_valid").alias("n_valid"), pick.cast("double").alias("_value"))
-    whole = C.season_length(F.col("season_year"), season.first, season.last)
-    good = (F.col("_days") / whole >= season.min_frac) & (F.col("n_valid") / whole >= season.min_frac)
-    return out.select(*group, "n_valid", F.when(good, F.col("_value")).alias("value"))
+        per = runs.groupBy(*group).agg(F.sum("_valid").alias("n_valid"), pick.cast("double").alias("_value"))
+    empty = None if name in ("RainInt", "MinTemp", "MaxTemp", "MeanTemp") else 0.0
+    return _judged(per, keys, season, span_of(obs), empty)
 
 
-def month_season(days: DataFrame, keys: list[str], value: str, function: str, first_month: int, last_month: int, min_frac: float) -> DataFrame:
+def month_season(obs: DataFrame, keys: list[str], value: str, function: str, first_month: int, last_month: int, min_frac: float) -> DataFrame:
     """Sum or mean over a season of whole months; February has 28 days."""
     ends = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
-    season = Season(first_month * 100 + 1, last_month * 100 + ends[last_month - 1])
+    season = Season(first_month * 100 + 1, last_month * 100 + ends[last_month - 1], min_frac=min_frac)
     v = F.col(value).cast("double")
-    rows = season_days(days, season)
-    whole = C.season_length(F.col("season_year"), season.first, season.last)
     made = F.coalesce(F.sum(v), F.lit(0.0)) if function == "sum" else F.avg(v)
-    out = rows.groupBy(*keys, "season_year").agg(F.count("*").alias("_days"), F.count(v).alias("n_valid"), made.alias("_value"))
-    good = (F.col("_days") / whole >= min_frac) & (F.col("n_valid") / whole >= min_frac)
-    return out.select(*keys, "season_year", "n_valid", F.when(good, F.col("_value")).alias("value"))
+    per = season_days(obs, season).groupBy(*keys, "season_year").agg(F.count(v).alias("n_valid"), made.alias("_value"))
+    return _judged(per, keys, season, span_of(obs), 0.0 if function == "sum" else None)

@@ -7,16 +7,54 @@ joined to observations on whole numbers; coordinates are never join keys.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELL = ["lat_i", "lon_i"]
 
 
-def cells(obs: DataFrame) -> DataFrame:
-    """The grid's cells with their centres."""
-    return obs.select(*CELL, "lat", "lon").distinct()
+@dataclass(frozen=True)
+class Axes:
+    """A regular grid: cell ``(i, j)`` has its centre at ``lat0 + dlat * i``
+    and ``lon0 + dlon * j``; steps may be negative (axes that descend). What
+    cells a support has follows from this alone, observations are not read.
+    ``rows`` and ``cols``, where known, cut supports off at the grid's edge;
+    beyond it no observation meets them anyway."""
+
+    lat0: float
+    lon0: float
+    dlat: float
+    dlon: float
+    rows: int | None = None
+    cols: int | None = None
+
+    def lat(self) -> Column:
+        return self.lat0 + self.dlat * F.col("lat_i")
+
+    def lon(self) -> Column:
+        return self.lon0 + self.dlon * F.col("lon_i")
+
+    def located(self, df: DataFrame) -> DataFrame:
+        """``df`` with its cells' centres."""
+        return df.withColumns({"lat": self.lat(), "lon": self.lon()})
+
+    def spread(self, df: DataFrame, west: Column, south: Column, east: Column, north: Column) -> DataFrame:
+        """``df`` once for each cell of the box that a row names, with centres.
+        Rows of the grid are dealt out before they are spread into cells."""
+
+        def steps(low: Column, high: Column, start: float, step: float, size: int | None) -> Column:
+            a, b = F.floor((low - start) / step), F.floor((high - start) / step)
+            first, last = F.least(a, b), F.greatest(a, b) + 1
+            if size is not None:
+                first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(size - 1))
+            return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+        box = df.withColumns({"_w": west, "_s": south, "_e": east, "_n": north})
+        lines = box.withColumn("lat_i", F.explode(steps(F.col("_s"), F.col("_n"), self.lat0, self.dlat, self.rows))).repartition("lat_i")
+        found = self.located(lines.withColumn("lon_i", F.explode(steps(F.col("_w"), F.col("_e"), self.lon0, self.dlon, self.cols))))
+        return found.where(F.col("lon").between(F.col("_w"), F.col("_e")) & F.col("lat").between(F.col("_s"), F.col("_n"))).drop("_w", "_s", "_e", "_n")
 
 
 def bbox(df: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
@@ -24,28 +62,22 @@ def bbox(df: DataFrame, west: float, south: float, east: float, north: float) ->
     return df.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
 
 
-def bbox_cells(grid: DataFrame, west: float, south: float, east: float, north: float, name: str = "rectangle") -> DataFrame:
-    found = bbox(grid, west, south, east, north).select(F.lit(name).alias("site"), *CELL)
-    return found
+def bbox_cells(spark: SparkSession, axes: Axes, west: float, south: float, east: float, north: float, name: str = "rectangle") -> DataFrame:
+    """Cells whose centre lies in the box, edges included."""
+    one = spark.range(1).select(F.lit(name).alias("site"))
+    return axes.spread(one, *[F.lit(float(x)) for x in (west, south, east, north)]).select("site", *CELL)
 
 
-def point_cells(grid: DataFrame, sites: DataFrame, lat0: float, lon0: float, dlat: float, dlon: float, pad: int = 0) -> DataFrame:
+def point_cells(axes: Axes, sites: DataFrame, pad: int = 0) -> DataFrame:
     """Cells whose centre is within ``(pad + 0.5)`` steps of a site ``(loc,
-    lon, lat)``, edges included, so a site on an edge takes both cells.
-
-    On a regular axis the candidates follow from the site's coordinates; they
-    meet the grid in an equi-join, and the exact rule decides. Sites outside
-    have no cell. Steps may be negative (axes that descend)."""
-    reach = pad + 0.5
-
-    def around(x: Column, start: float, step: float) -> Column:
-        at = (x - start) / step
-        return F.sequence(F.floor(at - reach).cast("int"), F.ceil(at + reach).cast("int"))
-
+    lon, lat)``, edges included, so a site on an edge takes both cells. They
+    follow from the site's coordinates. Sites outside have no cell."""
+    h, v = (pad + 0.5) * abs(axes.dlon), (pad + 0.5) * abs(axes.dlat)
+    x, y = F.col("_x"), F.col("_y")
     wanted = sites.select(F.col("loc").alias("site"), F.col("lon").alias("_x"), F.col("lat").alias("_y"))
-    wanted = wanted.withColumn("lat_i", F.explode(around(F.col("_y"), lat0, dlat))).withColumn("lon_i", F.explode(around(F.col("_x"), lon0, dlon)))
-    near = lambda a, b, step: F.abs(F.col(a) - F.col(b)) <= reach * abs(step)
-    return wanted.join(grid, CELL).where(near("lon", "_x", dlon) & near("lat", "_y", dlat)).select("site", *CELL)
+    # The box is wider than need be; the exact rule is that of distances.
+    near = axes.spread(wanted, x - 1.01 * h, y - 1.01 * v, x + 1.01 * h, y + 1.01 * v)
+    return near.where((F.abs(F.col("lon") - x) <= h) & (F.abs(F.col("lat") - y) <= v)).select("site", *CELL)
 
 
 def _edges(ring: Column, x: Column, y: Column) -> Column:
@@ -83,11 +115,11 @@ def bounds(zones: DataFrame) -> DataFrame:
     return zones.withColumns({"west": low("x"), "east": high("x"), "south": low("y"), "north": high("y")})
 
 
-def polygon_cells(grid: DataFrame, zones: DataFrame) -> DataFrame:
-    """Cells whose centre lies strictly inside a zone; its box comes first."""
-    z = bounds(zones)
-    box = grid["lon"].between(z["west"], z["east"]) & grid["lat"].between(z["south"], z["north"])
-    return grid.join(z, box).where(within(F.col("rings"), F.col("lon"), F.col("lat"))).select(F.col("zone").alias("site"), *CELL)
+def polygon_cells(axes: Axes, zones: DataFrame) -> DataFrame:
+    """Cells whose centre lies strictly inside a zone: those of its box by
+    arithmetic, then ray casting."""
+    box = axes.spread(bounds(zones), *[F.col(k) for k in ("west", "south", "east", "north")])
+    return box.where(within(F.col("rings"), F.col("lon"), F.col("lat"))).select(F.col("zone").alias("site"), *CELL)
 
 
 def mask(obs: DataFrame, chosen: DataFrame, value: str) -> DataFrame:

@@ -22,7 +22,8 @@ from .specs import BBox, Climatology, GeoJSON, Original, Points, Polygons, Seaso
 @dataclass(frozen=True)
 class Engine:
     """``obs(time, lat_i, lon_i, lat, lon, variables…)`` on a regular grid that
-    begins at ``lat0, lon0``."""
+    begins at ``lat0, lon0``; ``rows`` and ``cols`` say how far it goes, if
+    known."""
 
     obs: DataFrame
     lat0: float
@@ -30,6 +31,12 @@ class Engine:
     dlat: float
     dlon: float
     variables: tuple[str, ...] = ("precip", "tmin", "tmax")
+    rows: int | None = None
+    cols: int | None = None
+
+    @property
+    def axes(self) -> P.Axes:
+        return P.Axes(self.lat0, self.lon0, self.dlat, self.dlon, self.rows, self.cols)
 
     def info(self) -> DataFrame:
         return G.info(self.obs.withColumn("dataset", F.lit("obs")), ["dataset"])
@@ -37,7 +44,7 @@ class Engine:
     def at(self, support: Support, variables: list[str]) -> tuple[DataFrame, list[str]]:
         """Observations on a support, and the columns that tell its parts."""
         obs, cell = self.obs, P.CELL
-        grid = P.cells(obs)
+        axes = self.axes
         spark = obs.sparkSession
         take = lambda df: df.select(*cell, "time", *variables)
         if isinstance(support, Original):
@@ -46,17 +53,17 @@ class Engine:
             box = (support.west, support.south, support.east, support.north)
             if not support.average:
                 return take(P.bbox(obs, *box)), cell
-            chosen = P.bbox_cells(grid, *box)
+            chosen = P.bbox_cells(spark, axes, *box)
         elif isinstance(support, Points):
-            chosen = P.point_cells(grid, L.sites(spark, list(support.points)), self.lat0, self.lon0, self.dlat, self.dlon, support.pad)
+            chosen = P.point_cells(axes, L.sites(spark, list(support.points)), support.pad)
         elif isinstance(support, Polygons):
-            chosen = P.polygon_cells(grid, L.zones(spark, support.polygons))
+            chosen = P.polygon_cells(axes, L.zones(spark, support.polygons))
             if not support.average:
                 return take(obs.join(chosen.select(*cell).distinct(), cell, "left_semi")), cell
         elif isinstance(support, GeoJSON):
             features = L.geojson(spark, support.path, support.field)
-            points = P.point_cells(grid, L.geojson_sites(features), self.lat0, self.lon0, self.dlat, self.dlon, support.pad)
-            chosen = P.polygon_cells(grid, L.geojson_zones(features)).unionByName(points)
+            points = P.point_cells(axes, L.geojson_sites(features), support.pad)
+            chosen = P.polygon_cells(axes, L.geojson_zones(features)).unionByName(points)
         else:
             raise TypeError(f"no support: {support!r}")
         return P.spatial_mean(obs, chosen, variables, ["time"]), ["site"]
@@ -99,7 +106,7 @@ class Engine:
         """A season's index, one row a key and year."""
         parts = list(S.VARIABLES[spec.index])
         obs, keys = self.at(spec.support, parts)
-        return S.index(S.dense(obs, keys, parts), keys, spec.index, spec.season)
+        return S.index(obs, keys, spec.index, spec.season)
 
     def season_climatology(self, index: SeasonIndex, spec: Climatology) -> DataFrame:
         data = self.season(index).withColumnRenamed("season_year", "year").where(F.col("year").between(spec.first_year, spec.last_year))
@@ -118,7 +125,7 @@ class Engine:
         averaged over the cells of a support; the mean of a stdev is not the
         stdev of the mean, which :meth:`climatology` gives."""
         store = self.obs.sparkSession.read.parquet(path).where((F.col("variable") == variable) & (F.col("res") == res) & (F.col("stat") == stat))
-        where = Engine(store.join(P.cells(self.obs), P.CELL).withColumn("time", F.col("slot")), self.lat0, self.lon0, self.dlat, self.dlon)
+        where = Engine(self.axes.located(store).withColumn("time", F.col("slot")), self.lat0, self.lon0, self.dlat, self.dlon, rows=self.rows, cols=self.cols)
         found, keys = where.at(support, ["value"])
         return found.select(*keys, F.col("time").alias("slot"), "value")
 

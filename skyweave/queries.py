@@ -19,6 +19,8 @@ from skyweave.operators import derive as D
 from skyweave.operators import resample as R
 from skyweave.operators import season as S
 from skyweave.operators import support as P
+from skyweave.plans.engine import Engine
+from skyweave.plans.specs import BBox, Climatology, Original, Points, Polygons, SeasonIndex, Series
 from skyweave.sources import grid as G
 from skyweave.sources import places as L
 from skyweave.sources import sinks
@@ -68,10 +70,7 @@ def day(name: str = "time"):
 
 
 wet = G.weather
-
-
-def dense(spark: SparkSession, sf_dir: str, *values: str) -> DataFrame:
-    return S.dense(wet(spark, sf_dir), CELL, list(values))
+AXES = P.Axes(G.LAT0, G.LON0, G.STEP, G.STEP, 5, 5)
 
 
 # Scans and filters.
@@ -92,7 +91,7 @@ def bbox(s, d):
 
 
 def _points(pad: int):
-    return lambda s, d: P.point_cells(P.cells(wet(s, d)), L.sites(s, POINTS), G.LAT0, G.LON0, G.STEP, G.STEP, pad)
+    return lambda s, d: P.point_cells(AXES, L.sites(s, POINTS), pad)
 
 
 _SITES = "(VALUES ('A', CAST(30.5 AS DOUBLE), CAST(-1.5 AS DOUBLE)), ('B', 31.25, -0.75), ('C', 50.0, 10.0)) AS s(loc, x, y)"
@@ -116,7 +115,7 @@ inside AS (
 
 
 def zone_cells(s, d):
-    return P.polygon_cells(P.cells(wet(s, d)), L.zones(s, {"zone": [RING]}))
+    return P.polygon_cells(AXES, L.zones(s, {"zone": [RING]}))
 
 
 query("polygon_cells", f"{_INSIDE} SELECT 'zone' AS site, lat_i, lon_i FROM inside")(zone_cells)
@@ -293,7 +292,7 @@ _CHOSEN = {
     "poly": f"{_INSIDE}, chosen AS (SELECT 'zone' AS site, lat_i, lon_i FROM inside)",
 }
 _FETCH = {
-    "rect": lambda s, d: P.bbox_cells(P.cells(wet(s, d)), *BOX),
+    "rect": lambda s, d: P.bbox_cells(s, AXES, *BOX),
     "points": _points(0),
     "poly": zone_cells,
 }
@@ -404,7 +403,24 @@ query("clim_trend_slope", f"{_based('monthly')}, " + _TREND.format(table="based"
 )
 
 
-@query("clim_trend_full", None)
+# Two-sided probabilities of Student's t with three and four degrees of freedom, in closed form.
+_P = """CASE n WHEN 5 THEN 1 - 2 / pi() * (abs({t}) / sqrt(3) / (1 + {t} * {t} / 3) + atan(abs({t}) / sqrt(3)))
+  WHEN 6 THEN 1 - 0.75 * abs({t}) / sqrt(1 + {t} * {t} / 4) * (1 - {t} * {t} / (12 * (1 + {t} * {t} / 4))) END"""
+_SUMS = _TREND.format(table="based", keys="lat_i, lon_i, slot").split("\nSELECT")[0]
+
+
+@query(
+    "clim_trend_full",
+    f"""{_based('monthly')}, {_SUMS},
+fits AS (SELECT lat_i, lon_i, slot, n, cov, cov / 3.5 AS slope, my - cov / 3.5 * 2.5 AS intercept FROM covs),
+errors AS (
+  SELECT lat_i, lon_i, slot, sqrt(sum((value - intercept - slope * (year - 1995)) * (value - intercept - slope * (year - 1995))) / (any_value(n) - 2)) AS sigma, var_samp(value) AS var_y
+  FROM fits JOIN based USING (lat_i, lon_i, slot) WHERE value IS NOT NULL AND cov IS NOT NULL GROUP BY 1, 2, 3),
+known AS (SELECT f.*, sigma, var_y, sigma / sqrt(5 * 3.5) AS std_slope, sigma * sqrt(CAST(1 AS DOUBLE) / n + 6.25 / (5 * 3.5)) AS std_intercept FROM fits f LEFT JOIN errors USING (lat_i, lon_i, slot)),
+tested AS (SELECT *, slope / nullif(std_slope, 0) AS t_slope, intercept / nullif(std_intercept, 0) AS t_intercept FROM known)
+SELECT lat_i, lon_i, slot, n, round(slope, 6) AS slope, round(std_slope, 6) AS std_slope, round(t_slope, 6) AS t_value_slope, round({_P.format(t='t_slope')}, 6) AS p_value_slope, round(intercept, 6) AS intercept,
+  round(std_intercept, 6) AS std_intercept, round(t_intercept, 6) AS t_value_intercept, round({_P.format(t='t_intercept')}, 6) AS p_value_intercept, round(cov * cov / nullif(3.5 * var_y, 0), 6) AS r2, round(sigma, 6) AS sigma FROM tested""",
+)
 def clim_trend_full(s, d):
     found = trends(s, d)
     return found.select(*CELL, "slot", "n", *[r6(c, c) for c in found.columns[4:]])
@@ -436,7 +452,7 @@ def season_of(name: str, span=HARVEST) -> S.Season:
 
 
 def indexed(s, d, name: str, span=HARVEST) -> DataFrame:
-    return S.index(dense(s, d, *S.VARIABLES[name]), CELL, name, season_of(name, span))
+    return S.index(wet(s, d), CELL, name, season_of(name, span))
 
 
 def _season_sql(value: str, aggregate: str, span=HARVEST) -> str:
@@ -462,7 +478,7 @@ SELECT lat_i, lon_i, season_year, n_valid, CASE WHEN days / CAST({_whole} AS DOU
     )(lambda s, d, n=_n: indexed(s, d, n))
 
 query("month_season_precip", f"{_season_sql('precip', 'coalesce(sum(v), 0)', WINTER)} SELECT lat_i, lon_i, season_year, n_valid, round(value, 6) AS value FROM indices")(
-    lambda s, d: rounded(S.month_season(dense(s, d, "precip"), CELL, "precip", "sum", 11, 2, FRACTION))
+    lambda s, d: rounded(S.month_season(wet(s, d), CELL, "precip", "sum", 11, 2, FRACTION))
 )
 
 _RAIN = _season_sql("precip", "coalesce(sum(v), 0)", SPRING)
@@ -589,7 +605,105 @@ def cdt_pivot(s, d):
     return sinks.cdt(_series(s, d), L.sites(s, POINTS[:2]), ["A", "B"])
 
 
-query("json_points", None)(lambda s, d: sinks.json_points(_series(s, d), L.sites(s, POINTS)))
+_NUM = "CASE WHEN {0} = floor({0}) THEN printf('%.1f', {0}) ELSE CAST({0} AS VARCHAR) END"
+_POINTS_JSON = f"""{_site_sql('points')}, told AS (SELECT site, strftime(period, '%Y-%m') AS label, coalesce(round(value, 2), -9999) AS v FROM made)
+SELECT site AS loc, '{{"Name":"' || site || '","Longitude":' || {_NUM.format('x')} || ',"Latitude":' || {_NUM.format('y')} || ',"Dates":["' || string_agg(label, '","' ORDER BY label) || '"],"Values":[' || string_agg({_NUM.format('v')}, ',' ORDER BY label) || ']}}' AS json
+FROM told JOIN {_SITES} ON loc = site GROUP BY site, x, y"""
+query("json_points", _POINTS_JSON)(lambda s, d: sinks.json_points(_series(s, d), L.sites(s, POINTS)))
+
+_WIDE = "coalesce(round(max(value) FILTER (stat = '{0}'), 2), -9999) AS \"{0}\""
+_TWO = "SELECT {k}, n, stat, CASE WHEN n >= 5 THEN value END AS value FROM (SELECT {k}, count(value) AS n, avg(value) AS m, stddev_pop(value) AS sd FROM {t} GROUP BY {k}) t, LATERAL (SELECT 'mean' AS stat, m AS value UNION ALL SELECT 'stdev', sd) u"
+
+
+@query(
+    "csv_climatology",
+    f"""{_based('monthly')}, two AS ({_TWO.format(k='lat_i, lon_i, slot', t='based')})
+    SELECT '1995-2000_' || lpad(CAST(slot AS VARCHAR), 2, '0') AS "Dates", CAST(-2.0 + 0.5 * lat_i AS DOUBLE) AS "Latitude", CAST(30.0 + 0.5 * lon_i AS DOUBLE) AS "Longitude", {_WIDE.format('mean')}, {_WIDE.format('stdev')} FROM two GROUP BY slot, lat_i, lon_i""",
+)
+def csv_climatology(s, d):
+    found = K.mean_stdev(based(s, d), [*CELL, "slot"], "precip", YEARS).withColumn("label", C.slot_label(F.col("slot"), "monthly", FIRST, LAST))
+    return sinks.climatology_columns(AXES.located(found), ["mean", "stdev"])
+
+
+@query(
+    "json_grid",
+    f"""{_resample_sql(_daily('monthly'), 'monthly', 'sum', _EXPECTED['monthly'])}, told AS (SELECT strftime(period, '%Y-%m') AS label, CAST(-2.0 + 0.5 * lat_i AS DOUBLE) AS lat, CAST(30.0 + 0.5 * lon_i AS DOUBLE) AS lon, coalesce(round(value, 2), -9999) AS v FROM made)
+    SELECT label, lat, '{{"label":"' || label || '","lat":' || {_NUM.format('lat')} || ',"lon":[' || string_agg({_NUM.format('lon')}, ',' ORDER BY lon) || '],"precip":[' || string_agg({_NUM.format('v')}, ',' ORDER BY lon) || ']}}' AS json FROM told GROUP BY label, lat""",
+)
+def json_grid(s, d):
+    grid = AXES.located(months(s, d).withColumn("label", C.label(F.col("period"), "monthly")))
+    return sinks.json_grid(grid, "precip")
+
+
+# The requests over supports, as the engine makes them.
+
+SUPPORTS = {
+    "grid": (Original(), "lat_i, lon_i", None),
+    "box": (BBox(*BOX), "lat_i, lon_i", "rect"),
+    "rectangle": (BBox(*BOX, True), "site", "rect"),
+    "points": (Points(tuple(POINTS[:2])), "site", "points"),
+    "zone_cells": (Polygons({"zone": [RING]}), "lat_i, lon_i", "poly"),
+    "zone_mean": (Polygons({"zone": [RING]}, True), "site", "poly"),
+}
+
+
+def engine(s, d) -> Engine:
+    return Engine(wet(s, d), G.LAT0, G.LON0, G.STEP, G.STEP, rows=5, cols=5)
+
+
+def _on(kind: str | None, keys: str) -> str:
+    """Tables up to ``chosen``, and ``here``, the rows on a support."""
+    if kind is None:
+        return "here AS (SELECT lat_i, lon_i, time, precip FROM wet)"
+    if keys == "site":
+        return f"{_CHOSEN[kind]}, here AS (SELECT site, time, avg(precip) AS precip FROM wet JOIN chosen USING (lat_i, lon_i) GROUP BY 1, 2)"
+    return f"{_CHOSEN[kind]}, here AS (SELECT lat_i, lon_i, time, precip FROM wet JOIN (SELECT DISTINCT lat_i, lon_i FROM chosen) c USING (lat_i, lon_i))"
+
+
+def _raw_sql(kind: str | None, keys: str) -> str:
+    rows = f"SELECT {keys}, time, {_MONTH} AS period, precip AS v FROM here WHERE time BETWEEN DATE '1995-01-01' AND DATE '2000-12-31'"
+    return f"{_on(kind, keys)}, {_resample_sql(rows, 'monthly', 'sum', _EXPECTED['monthly'], keys=keys)}"
+
+
+def _index_sql(kind: str | None, keys: str) -> str:
+    """Rain of the season 15 October to 20 January on a support."""
+    inside, year, whole = _md(*HARVEST)
+    return f"""{_on(kind, keys)}, ends AS (SELECT min(time) AS a, max(time) AS b FROM here),
+every AS (SELECT k.*, d.time, h.precip AS v FROM (SELECT DISTINCT {keys} FROM here) k CROSS JOIN (SELECT time FROM days, ends WHERE time BETWEEN a AND b) d LEFT JOIN here h ON h.time = d.time AND {' AND '.join(f'h.{x} = k.{x}' for x in keys.split(', '))}),
+counted AS (SELECT {keys}, {year} AS season_year, count(*) AS days, count(v) AS n_valid, coalesce(sum(v), 0) AS x FROM every WHERE {inside} GROUP BY ALL),
+indices AS (SELECT {keys}, season_year, n_valid, CASE WHEN days / CAST({whole} AS DOUBLE) >= 0.5 AND n_valid / CAST({whole} AS DOUBLE) >= 0.5 THEN CAST(x AS DOUBLE) END AS value FROM counted)"""
+
+
+def _register_supports() -> None:
+    base = Climatology("mean-stdev", FIRST, LAST, YEARS)
+    for name, (support, keys, kind) in SUPPORTS.items():
+        key = keys.split(", ")
+        months_ = Series("precip", "monthly", f"{FIRST}-01-01", f"{LAST}-12-31", support, min_frac=FRACTION)
+        rain = SeasonIndex("TotRain", season_of("TotRain"), support)
+        two = _TWO.format(k=f"{keys}, slot", t="based")
+        raw, index = _raw_sql(kind, keys), _index_sql(kind, keys)
+        slotted = f"{raw}, based AS (SELECT *, CAST(month(period) AS INT) AS slot FROM made)"
+        yearly = f"{index}, based AS (SELECT * FROM indices WHERE season_year BETWEEN {FIRST} AND {LAST})"
+        columns = ", ".join(f"t.{k}" for k in key)
+        query(f"raw_{name}", f"{raw} SELECT {keys}, {_label('monthly')} AS label, n_valid, round(value, 6) AS value FROM made")(
+            lambda s, d, q=months_, k=key: engine(s, d).raw(q).select(*k, C.label(F.col("period"), "monthly").alias("label"), "n_valid", r6("value", "value"))
+        )
+        query(f"climatology_{name}", f"{slotted} SELECT {keys}, slot, n, stat, round(value, 6) AS value FROM ({two})")(
+            lambda s, d, q=months_: rounded(engine(s, d).climatology(q, base))
+        )
+        query(f"anomaly_{name}", f"{slotted}, " + _depart("based", "based", f"{keys}, slot", f"{columns}, strftime(period, '%Y-%m') AS label", "standardized"))(
+            lambda s, d, q=months_, k=key: engine(s, d).anomaly(q, "standardized", base).select(*k, C.label(F.col("period"), "monthly").alias("label"), "value")
+        )
+        query(f"season_{name}", f"{index} SELECT {keys}, season_year, n_valid, round(value, 6) AS value FROM indices")(lambda s, d, q=rain: rounded(engine(s, d).season(q)))
+        query(f"season_climatology_{name}", f"{yearly} SELECT {keys}, n, stat, round(value, 6) AS value FROM ({_TWO.format(k=keys, t='based')})")(
+            lambda s, d, q=rain: rounded(engine(s, d).season_climatology(q, base))
+        )
+        query(f"season_anomaly_{name}", f"{yearly}, " + _depart("indices", "based", keys, f"{columns}, season_year", "difference"))(
+            lambda s, d, q=rain, k=key: engine(s, d).season_anomaly(q, "difference", base).select(*k, "season_year", "value")
+        )
+
+
+_register_supports()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -46,20 +46,32 @@ def write_obs(obs: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def unseen(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose times a store does not have yet."""
+    """The rows whose ``keys`` a store does not have yet."""
     return incoming.join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
-def append_unseen(incoming: DataFrame, path: str) -> None:
-    """Append what is new to a store; the first call makes it."""
+def stored_obs(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store at ``path``; none if nothing is there."""
     from pyspark.errors import AnalysisException
 
-    key = ["dataset", "res", "variable", "time"]
     try:
-        stored = incoming.sparkSession.read.parquet(path)
-    except AnalysisException:
-        stored = None
-    write_obs(incoming if stored is None else unseen(incoming, stored, key), path)
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def append_unseen(incoming: DataFrame, path: str) -> None:
+    """Append what is new to a store; the first call makes it. New is what the
+    store has no row of for that time and cell: of a step that comes in two
+    parts, both stay. Only the years that come in are looked up."""
+    key = ["dataset", "res", "variable", "time", "lat_i", "lon_i"]
+    stored = stored_obs(incoming.sparkSession, path)
+    if stored is not None:
+        years = [r[0] for r in incoming.select(F.year("time")).distinct().collect()]  # some hundred at most
+        incoming = unseen(incoming, stored.where(F.col("year").isin(years)), key)
+    write_obs(incoming, path)
 
 
 def grid_axis(obs: DataFrame) -> DataFrame:
@@ -99,3 +111,22 @@ def tables(spark: SparkSession, config: dict) -> DataFrame:
     keys = ("name", "units", "input", "function", "min_frac")
     rows = [(d, r, v, *(m.get(k) for k in keys)) for d, rs in config.items() for r, vs in rs.items() for v, m in vs.items()]
     return spark.createDataFrame(rows, "dataset string, res string, variable string, name string, units string, input string, function string, min_frac double")
+
+
+def resolve(config: dict, dataset: str, res: str, variable: str) -> tuple[str, str, str | None]:
+    """``(res, variable, function)`` of what to read for a request: the entry
+    itself, or the one that its ``input``, ``res`` or ``res/variable``, names,
+    with the function that makes one of the other; inputs of inputs too.
+    Raises ``KeyError`` for what the configuration does not have and
+    ``ValueError`` where inputs go round in a ring."""
+    function, seen = None, []
+    while True:
+        if (res, variable) in seen:
+            raise ValueError(f"inputs of {variable} form a ring")
+        seen.append((res, variable))
+        entry = config[dataset][res][variable]
+        if not entry.get("input"):
+            return res, variable, function
+        function = function or entry.get("function")
+        name, _, other = entry["input"].partition("/")
+        res, variable = name, other or variable

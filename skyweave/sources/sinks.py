@@ -64,12 +64,17 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def zip_zones(df: DataFrame, zone: str, limit: int = 1_000_000) -> bytes:
     """A ZIP archive with a CSV file for each zone, made on the driver after
-    counting that the result, at most ``limit`` rows, fits there."""
+    counting that the result, at most ``limit`` rows, fits there; more is what
+    :func:`write_csv` is for. Files are named after the zones, letters and
+    digits only; where names meet, with a number."""
     if df.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} rows; write them as a table instead")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, part in df.toPandas().groupby(zone):
-            safe = "".join(c for c in str(name) if c.isalnum())
+            plain = "".join(c for c in str(name) if c.isalnum()) or "zone"
+            safe, k = plain, 2
+            while f"{safe}.csv" in z.namelist():
+                safe, k = f"{plain}_{k}", k + 1
             z.writestr(f"{safe}.csv", part.drop(columns=[zone]).to_csv(index=False))
     return out.getvalue()

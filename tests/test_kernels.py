@@ -123,8 +123,62 @@ def test_radiation_without_sunset(spark):
 
 def test_polygons_with_holes_and_edges(spark):
     zone = places.zones(spark, {"z": [[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)]]})
-    grid = spark.range(25).select((F.col("id") / 5).cast("int").alias("lat_i"), (F.col("id") % 5).cast("int").alias("lon_i")).selectExpr("*", "lat_i + 0.5D AS lat", "lon_i * 1D AS lon")
+    grid = support.Axes(0.5, 0.0, 1.0, 1.0, 5, 5)
     got = {(r["lat_i"], r["lon_i"]) for r in support.polygon_cells(grid, zone).collect()}
     assert got == {(i, j) for i in (0, 3) for j in (1, 2, 3)}
     c = value(spark, support.centroid(F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', 2D, 'y', 0D), named_struct('x', 2D, 'y', 2D), named_struct('x', 0D, 'y', 2D), named_struct('x', 0D, 'y', 0D))")))
     assert c["lon"] == 1.0 and abs(c["lat"] - 1.0) < 1e-3
+    # The same cells on axes that descend, without knowing where they end.
+    down = support.Axes(4.5, 4.0, -1.0, -1.0)
+    assert {(4 - r["lat_i"], 4 - r["lon_i"]) for r in support.polygon_cells(down, zone).collect()} == got
+    sites = places.sites(spark, [("a", 1.0, 1.5), ("b", 1.5, 1.5), ("c", 99.0, 9.0)])
+    near = lambda axes: sorted(map(tuple, axes.located(support.point_cells(axes, sites)).select("site", "lat", "lon").collect()))
+    assert near(grid) == [("a", 1.5, 1.0), ("b", 1.5, 1.0), ("b", 1.5, 2.0)] and [x for x in near(down) if x[0] != "c"] == near(grid)
+
+
+def test_absent_days_are_days_without_a_value(spark):
+    """Seasons of sparse rows against the definition day by day."""
+    import random
+
+    rng = random.Random(12)
+    first = dt.date(1999, 11, 20)
+    have = {c: {first + dt.timedelta(k): rng.choice([0.0, 5.0, 30.0, None]) for k in range(800) if rng.random() < 0.8 and (c != 1 or k > 500)} for c in range(3)}
+    obs = spark.createDataFrame([(c, t, v) for c, x in have.items() for t, v in x.items()], "cell int, time date, precip double")
+    s = season.Season(1015, 120, threshold=5.0, spell=2, min_frac=0.0)
+    a, b = (f(t for x in have.values() for t in x) for f in (min, max))
+    expected = {}
+    for c in have:
+        for year in range(1998, 2003):
+            days = [dt.date(year, 10, 15) + dt.timedelta(k) for k in range(98)]
+            days = [t for t in days if a <= t <= b]
+            if not days:
+                continue
+            v = [have[c].get(t) for t in days]
+            text = "".join("-" if x is None else "w" if x >= 5 else "d" for x in v)
+            runs = [len(r) for r in text.replace("-", " ").replace("w", " ").split()]
+            expected[c, year] = (sum(x is not None for x in v), float(max(runs, default=0)), float(sum(r // 2 for r in runs)), float(text.count("w")))
+    got = {}
+    for k, name in enumerate(("LongDS", "NumDS", "NumWD")):
+        for r in season.index(obs, ["cell"], name, s).collect():
+            got.setdefault((r["cell"], r["season_year"]), [r["n_valid"]]).append(r["value"])
+    assert {k: tuple(v) for k, v in got.items()} == expected
+
+
+def test_steps_are_those_of_all_keys(spark):
+    """Completeness by the times that any key has, in periods of every length."""
+    rows = [(c, dt.date(2001, 1, 1) + dt.timedelta(k), 1.0) for c in range(2) for k in range(365) if (k + c) % 2 == 0 and k != 100]
+    obs = spark.createDataFrame(rows, "cell int, time date, precip double")
+    for res, count in (("annual", 364), ("monthly", None)):
+        full = resample.resample(obs, ["cell"], "precip", res, "sum", mode="R1", min_frac=0.5)
+        if count:
+            assert [r["n_valid"] for r in full.orderBy("cell").collect()] == [182, 182]
+            assert all(r["precip"] is None for r in resample.resample(obs, ["cell"], "precip", res, "sum", mode="R1", min_frac=0.51).collect())
+    assert resample.resample(obs, ["cell"], "precip", "annual", "sum", min_frac=364.5 / 365).count() == 0
+
+
+def test_trend_of_large_means(spark):
+    rows = [(0, 1995 + k, 1.0e9 + v) for k, v in enumerate([1.0, 3.0, 2.0, 5.0, 4.0])]
+    plain = [(0, y, v - 1.0e9) for _, y, v in rows]
+    get = lambda r: climatology.trend(spark.createDataFrame(r, "cell int, year int, v double"), ["cell"], "v", 1995, 1999, 3).first()
+    for m in ("slope", "sigma", "r2", "p_value_slope"):
+        assert abs(get(rows)[m] - get(plain)[m]) < 1e-6

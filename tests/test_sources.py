@@ -4,7 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.plans import specs
+from skyweave.operators import derive
+from skyweave.plans import materialise, specs
 from skyweave.plans.engine import Engine, materialise_climatologies
 from skyweave.operators.season import Season
 from skyweave.sources import grid, places, sinks
@@ -27,6 +28,78 @@ def test_store_appends_only_unseen_times(spark, tmp_path):
     assert "PartitionFilters" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_parts_of_a_step_are_all_kept(spark, tmp_path):
+    """A time that comes in two parts loses neither; a second run adds
+    nothing; the lookup reads the years that come in."""
+    store = str(tmp_path / "store")
+    rows = obs_rows(spark, range(1, 4))
+    for part in (rows.where("lat_i < 2"), rows.where("lat_i > 0"), rows):
+        grid.append_unseen(part, store)
+    kept = grid.read_obs(spark, store, "d", "daily", "precip")
+    assert kept.count() == 9 == kept.select("time", "lat_i").distinct().count()
+    with pytest.raises(Exception, match="NOT_FOUND|not found|CANNOT|cannot"):
+        grid.append_unseen(rows.select("time"), store)
+
+
+def test_running_totals(spark, tmp_path):
+    """Totals of whole months, each given out once, when a month has come that
+    ends long enough after it; a late row counts while its month is open."""
+    def month(k, days=28):
+        return [("d", "daily", "precip", dt.date(2001, k, x), i, 0, float(i), 0.0, 1.0) for x in range(1, days + 1) for i in range(2)]
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [month(1, 20), month(2), month(1)[40:56], month(3), month(4), month(1, 3), month(5)]
+    for rows in batches:
+        spark.createDataFrame(rows, grid.OBS).coalesce(1).write.mode("append").parquet(source)
+        stream = ingest.running_totals(ingest.read_stream(spark, source, grid.OBS), "monthly", "40 days")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["period"].isoformat(), r["lat_i"], r["value"], r["n_valid"]) for r in spark.read.parquet(out).collect())
+    assert got[:4] == [("2001-01-01", 0, 28.0, 28), ("2001-01-01", 1, 28.0, 28), ("2001-02-01", 0, 28.0, 28), ("2001-02-01", 1, 28.0, 28)]
+    assert len({x[:2] for x in got}) == len(got) and max(got)[0] < "2001-05"
+    plain = ingest.running_totals(spark.createDataFrame(month(1), grid.OBS), "dekadal").collect()
+    assert sorted((r["period"].day, r["value"]) for r in plain if r["lat_i"] == 0) == [(1, 10.0), (11, 10.0), (21, 8.0)]
+
+
+def test_computed_variables(spark, tmp_path):
+    """What is kept is what the formula gives on the days that all inputs
+    have; new days are appended, old ones are not."""
+    store = str(tmp_path / "store")
+    rows = lambda v, days, x: [("d", "daily", v, dt.date(2001, 1, k), i, 0, 2.0 * i, 30.0, None if k == 3 and v == "tmax" else x + k) for k in days for i in range(2)]
+    add = lambda r: grid.append_unseen(spark.createDataFrame(r, grid.OBS), store)
+    for v, x in (("tmin", 10.0), ("tmax", 20.0), ("precip", 0.0)):
+        add(rows(v, range(1, 6 if v != "precip" else 5), x))
+    for _ in range(2):
+        materialise.materialise(spark, store, "d", "daily", ["et0", "trange"])
+    et0 = {(r["time"].day, r["lat_i"]): r["value"] for r in grid.read_obs(spark, store, "d", "daily", "et0").collect()}
+    assert set(et0) == {(k, i) for k in range(1, 5) for i in range(2)} and et0[3, 0] is None
+    at = spark.createDataFrame([(dt.date(2001, 1, 2), 2.0, 12.0, 22.0, 2.0)], "time date, lat double, tmin double, tmax double, precip double")
+    want = at.select(derive.et0_modified(F.col("tmin"), F.col("tmax"), F.col("precip"), derive.radiation_on(F.col("time"), F.col("lat"))).alias("x")).first()["x"]
+    assert abs(et0[2, 1] - want) < 1e-12
+    assert {r["value"] for r in grid.read_obs(spark, store, "d", "daily", "trange").collect()} == {10.0, None}
+    add(rows("precip", range(5, 6), 0.0))
+    materialise.materialise(spark, store, "d", "daily", ["et0"])
+    assert grid.read_obs(spark, store, "d", "daily", "et0").count() == 10
+
+
+def test_resolution_of_requests():
+    config = {"d": {"daily": {"precip": {}, "tmin": {}}, "dekadal": {"precip": {"input": "daily", "function": "sum"}}, "monthly": {"precip": {"input": "dekadal", "function": "sum"}, "cold": {"input": "daily/tmin", "function": "min"}, "x": {"input": "monthly"}}}}
+    assert grid.resolve(config, "d", "daily", "precip") == ("daily", "precip", None)
+    assert grid.resolve(config, "d", "monthly", "precip") == ("daily", "precip", "sum")
+    assert grid.resolve(config, "d", "monthly", "cold") == ("daily", "tmin", "min")
+    with pytest.raises(ValueError):
+        grid.resolve(config, "d", "monthly", "x")
+    with pytest.raises(KeyError):
+        grid.resolve(config, "d", "hourly", "precip")
+
+
+def test_zones_with_like_names(spark):
+    import io
+    import zipfile
+
+    df = spark.createDataFrame([("z 1", 1), ("z-1", 2), ("--", 3)], "zone string, v int")
+    assert sorted(zipfile.ZipFile(io.BytesIO(sinks.zip_zones(df, "zone"))).namelist()) == ["z1.csv", "z1_2.csv", "zone.csv"]
+
+
 def test_stream_ingest(spark, tmp_path):
     folder, store = tmp_path / "in", str(tmp_path / "store")
     obs_rows(spark, range(1, 6)).write.parquet(str(folder / "a"))
