@@ -101,12 +101,13 @@ def trend(series: DataFrame, keys: list[str], value: str, first_year: int, last_
     b = F.col("slope")
     off = F.col("mx") - mean_x
     sse = (n - 1) * (F.col("var_y") - 2 * b * F.col("cov") + b * b * F.col("var_own")) + n * b * b * off * off
-    step = step.withColumn("sigma", F.sqrt(F.greatest(sse, F.lit(0.0)) / (n - 2)))
+    step = step.withColumn("sigma", F.when(sse.isNotNull(), F.sqrt(F.greatest(sse, F.lit(0.0)) / (n - 2))))
     step = step.withColumn("std_slope", F.col("sigma") / ((count - 1) * var_x) ** 0.5)
     step = step.withColumn("std_intercept", F.col("sigma") * F.sqrt(1 / n + mean_x**2 / ((count - 1) * var_x)))
     for k in ("slope", "intercept"):
         step = step.withColumn(f"t_value_{k}", F.try_divide(F.col(k), F.col(f"std_{k}")))
-        step = step.withColumn(f"p_value_{k}", two_sided_t(F.col(f"t_value_{k}"), n - 2))
+        t = F.col(f"t_value_{k}")
+        step = step.withColumn(f"p_value_{k}", F.when(t.isNotNull(), two_sided_t(t, n - 2)))
     step = step.withColumn("r2", F.try_divide(F.col("cov") * F.col("cov"), var_x * F.col("var_y")))
     scale = {"perYear": F.lit(1.0), "overPeriod": n.cast("double"), "percPeriod": F.try_divide(100.0 * n, F.col("my"))}[unit]
     step = step.withColumn("slope", b * scale)
