@@ -129,10 +129,11 @@ class Matcher:
             id_, item = self.items[k]
             m, e = len(item), self.edits[k]
             best = (e + 1, 0, 0)
-            at = text.find(item)
+            # With no edit to spare, an item counts as whole words only.
+            at = text.find(item) if e else f" {text} ".find(f" {item} ")
             if at >= 0:
                 best = (0, at, at + m)
-            else:
+            elif e:
                 if k not in self.masks:
                     masks: dict[str, int] = {}
                     for i, c in enumerate(item):
@@ -177,7 +178,8 @@ def _search(shared):
 def match(docs: DataFrame, items: DataFrame, rate: float = 0.1, piece: int = 12, block: int = 2_000_000) -> DataFrame:
     """``docs`` with ``matches``, an array of ``(item_id, distance, start,
     end)``: every item of ``items(item_id, text)`` that occurs in the whole
-    text, up to case, punctuation and ``rate`` of its length in edits.
+    text, up to case, punctuation and ``rate`` of its length in edits; items
+    too short for one edit as whole words.
 
     Items are sent to the tasks in blocks of about ``block`` characters, one
     pass over the texts each, so that no broadcast exceeds it by more than one

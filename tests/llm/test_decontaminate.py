@@ -73,6 +73,12 @@ def test_every_edit_of_the_rate_counts(spark):
         assert near == n
 
 
+def test_short_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "art"), (2, "Go on!")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a party started"), (2, "modern ART, they said"), (3, "cargo only"), (4, "we go on"), (5, "art")], "doc_id long, text string")
+    assert {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in D.match(docs, items).collect()} == {1: [], 2: [1], 3: [], 4: [2], 5: [1]}
+
+
 def test_blocks_of_items_and_empty_tables(spark):
     items = spark.createDataFrame([(i, f"{i} {ITEM} {i}") for i in range(20)], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"7 {ITEM} 7")], "doc_id long, text string")
