@@ -17,9 +17,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
 
 
-def draw(doc_id: Column, seed: str) -> Column:
-    """A document's place in the seeded order of its source."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def draw(docs: DataFrame, seed: str) -> Column:
+    """A document's place in the seeded order of its source: by its id, or
+    where that is null by its text, so that rows without ids are spread too."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("null "), F.md5(text)))))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -62,11 +64,11 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix"
     The order is kept in two levels: 4096 ranges of the digest, summed with
     map-side combining, and the documents within a range. A source that holds
     a third of all rows is thus spread over 4096 groups. A null text has size
-    0; a null source is a source of its own, the last; rows that share an id
-    share a place in the order; other columns are not looked at. An empty
+    0; a null source is a source of its own, the last; rows that share an id, or
+    without one a text, share a place in the order; other columns are not looked at. An empty
     table gives an empty result."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = cut(docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), draw(F.col("doc_id"), seed).alias("_place")).withColumn("_range", F.substring("_place", 1, 3)))
+    slim = cut(docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), draw(docs, seed).alias("_place")).withColumn("_range", F.substring("_place", 1, 3)))
     ranges = slim.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
     plan = targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), share, cap, weights)
     plan = plan.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -86,7 +88,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: str = "mix"
 SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, '')))) AS place
   FROM {docs}),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (

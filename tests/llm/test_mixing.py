@@ -48,5 +48,15 @@ def test_empty(spark):
 
 
 def test_draw_is_md5(spark):
-    d = spark.createDataFrame([(5,)], "doc_id long")
-    assert d.select(mixing.draw(d["doc_id"], "mix")).first()[0] == hashlib.md5(b"mix:5").hexdigest()
+    d = spark.createDataFrame([(5, "x"), (None, "x"), (None, None)], "doc_id long, text string")
+    by = lambda b: hashlib.md5(b).hexdigest()
+    assert {r[0] for r in d.select(mixing.draw(d, "mix")).collect()} == {by(b"mix:5"), by(b"mix:null " + by(b"x").encode()), by(b"mix:null " + by(b"").encode())}
+
+
+def test_very_long_texts_and_names_in_use(spark):
+    """One text of a million words among short ones, and columns named as the
+    operator's own."""
+    rows = [(1, "w " * 1_000_000, "a", 0.5, "p")] + [(k, "w x", "b", 0.5, "p") for k in range(2, 50)]
+    out = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, target double, _place string")).collect()}
+    assert out[1]["size"] == 1_000_000 and out[1]["taken"] <= 2_000_000 and len(out) == 49
+    assert all(r["target"] == 2 * r["source_size"] for r in out.values() if r["source"] == "b")
