@@ -20,9 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
-    Only where the session names none (tests on one machine) is one made."""
+    Only where the session names none and all runs in one process (tests) is
+    one made; on a cluster that would be another folder on each machine, and
+    the lack of one is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skyweave-"))
         named = spark.sparkContext.getCheckpointDir()
     return named

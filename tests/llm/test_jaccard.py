@@ -70,5 +70,29 @@ def test_one_row_of_each_class_that_shares_its_class_id(spark):
     assert sorted(t[0] for i, t in kept if i is None) == ["a", "b"]
 
 
+def test_recall_below_and_at_the_threshold(spark):
+    """Pairs of known similarity: all at the threshold and above are linked,
+    none below, among them one of very long texts."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows, expected = [], {}
+    for k in range(300):
+        n = 100_000 if k == 0 else rng.randint(60, 200)
+        base = [word() for _ in range(n)]
+        grams_ = n - 4
+        # Cutting c words off the end leaves a similarity of (n - 4 - c) / (n - 4).
+        c = int(grams_ * rng.choice([0.05, 0.15, 0.2, 0.205, 0.25, 0.4])) + rng.randint(0, 1)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: n - c]))]
+        expected[2 * k] = int(5 * (grams_ - c) >= 4 * grams_)
+    found = {r["doc_id"]: r["n_links"] for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: found[k] for k in expected} == expected and 100 < sum(expected.values()) < 250
+
+
+def test_trees_for_a_recall():
+    for t in (0.5, 0.8, 0.95):
+        n = jaccard.trees_for(t, 0.9999)
+        assert 1 - (1 - t**jaccard.SHALLOW) ** n >= 0.9999 > 1 - (1 - t**jaccard.SHALLOW) ** (n - 1)
+
+
 def test_empty(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
