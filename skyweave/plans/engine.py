@@ -132,9 +132,11 @@ class Engine:
 
 def materialise_climatologies(engine: Engine, series: list[Series], path: str, first_year: int = 1991, last_year: int = 2020, min_years: int = 30) -> None:
     """Mean, stdev and percentiles 5, 25, 50, 75 and 95 of all ``series``, as a
-    table by variable and resolution."""
+    table by variable, resolution and kind. What is there of these already is
+    replaced, so that a second run leaves the same."""
     base = {"first_year": first_year, "last_year": last_year, "min_years": min_years}
     for s in series:
         for statistic in ("mean-stdev", "percentile"):
             found = engine.climatology(s, Climatology(statistic, **base))
-            found.withColumns({"variable": F.lit(s.variable), "res": F.lit(s.res)}).write.mode("append").partitionBy("variable", "res").parquet(path)
+            named = found.withColumns({"variable": F.lit(s.variable), "res": F.lit(s.res), "kind": F.lit(statistic)})
+            named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variable", "res", "kind").parquet(path)

@@ -37,6 +37,19 @@ def read_obs(spark: SparkSession, path: str, dataset: str, res: str, variable: s
     return df
 
 
+def field(spark: SparkSession, path: str, dataset: str, res: str, variable: str, time: str, box: tuple[float, float, float, float] | None = None) -> DataFrame | None:
+    """One step of a variable, in the box (west, south, east, north) if there
+    is one; none where the store has nothing for that step. Only the folder
+    of its year is read."""
+    found = stored_obs(spark, path)
+    if found is None:
+        return None
+    found = read_obs(spark, path, dataset, res, variable, time, time)
+    if found.isEmpty():
+        return None
+    return found if box is None else found.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+
+
 def write_obs(obs: DataFrame, path: str, mode: str = "append") -> None:
     """Keep ``obs`` by dataset, resolution, variable and year, sorted by cell
     and time within files. NaN becomes null."""

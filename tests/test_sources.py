@@ -41,6 +41,15 @@ def test_parts_of_a_step_are_all_kept(spark, tmp_path):
         grid.append_unseen(rows.select("time"), store)
 
 
+def test_one_field(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert grid.field(spark, store, "d", "daily", "precip", "2001-01-02") is None
+    grid.append_unseen(obs_rows(spark, range(1, 4)), store)
+    assert grid.field(spark, store, "d", "daily", "precip", "2001-01-02").count() == 3
+    assert [r["lat_i"] for r in grid.field(spark, store, "d", "daily", "precip", "2001-01-02", (-1, 0.5, 1, 1.5)).collect()] == [1]
+    assert grid.field(spark, store, "d", "daily", "precip", "2002-01-02") is None and grid.field(spark, store, "d", "daily", "tmin", "2001-01-02") is None
+
+
 def test_running_totals(spark, tmp_path):
     """Totals of whole months, each given out once, when a month has come that
     ends long enough after it; a late row counts while its month is open."""
@@ -204,7 +213,9 @@ def test_engine_over_all_supports(spark, tmp_path):
     index = specs.SeasonIndex("TotRain", Season(1015, 120, min_frac=0.0), box)
     base = specs.Climatology("mean", 1995, 2000, 3)
     assert e.season(index).count() >= 6 and e.season_climatology(index, base).count() == 1 and e.season_anomaly(index, "standardized", base).count() >= 6
-    materialise_climatologies(e, [month(box)], str(tmp_path / "clim"), 1995, 2000, 3)
+    for _ in range(2):
+        materialise_climatologies(e, [month(box)], str(tmp_path / "clim"), 1995, 2000, 3)
+    assert spark.read.parquet(str(tmp_path / "clim")).count() == 7 * 12
     assert spark.read.parquet(str(tmp_path / "clim")).select("stat").distinct().count() == 7
     materialise_climatologies(e, [month(specs.Original())], str(tmp_path / "cells"), 1995, 2000, 3)
     assert e.lookup(str(tmp_path / "cells"), "precip", "monthly", "mean", specs.Original()).count() == 300
