@@ -12,6 +12,11 @@ from skyweave.functions import calendar as C
 
 CELL = ["lat_i", "lon_i"]
 
+# Coefficients of the modified form of evapotranspiration by day and by coarser steps, and of that of FAO.
+DAILY = (0.0019, 21.0584, 0.0874, 0.6278)
+COARSER = (0.0013, 17.0, 0.0123, 0.76)
+FAO = (0.0023, 17.8)
+
 
 def tmean(tmin: DataFrame, tmax: DataFrame) -> DataFrame:
     """Mean of the two, on all times that either has; missing if one is."""
@@ -49,13 +54,10 @@ def radiation_on(time: Column, lat: Column, res: str = "daily") -> Column:
     return radiation(C.slot(day, "daily"), lat)
 
 
-# The coefficients of the two forms of evapotranspiration and of radiation.
-
-
 def et0_modified(tmin: Column, tmax: Column, precip: Column, ra: Column, res: str = "daily") -> Column:
     """Reference evapotranspiration, modified Hargreaves with rain; monthly
     and coarser steps have coefficients of their own."""
-    c1, c2, c3, c4 = (0.0019, 21.0584, 0.0874, 0.6278) if res == "daily" else (0.0013, 17.0, 0.0123, 0.76)
+    c1, c2, c3, c4 = DAILY if res == "daily" else COARSER
     spread = F.greatest(tmax - tmin, F.lit(0.0))
     whole = tmin.isNotNull() & tmax.isNotNull() & precip.isNotNull()
     return F.when(whole, c1 * 0.408 * ra * ((tmax + tmin) / 2 + c2) * F.pow(F.greatest(spread - c3 * precip, F.lit(0.0)), F.lit(c4)))
@@ -64,7 +66,7 @@ def et0_modified(tmin: Column, tmax: Column, precip: Column, ra: Column, res: st
 def et0_fao(tmin: Column, tmax: Column, ra: Column) -> Column:
     """Reference evapotranspiration, Hargreaves as FAO has it."""
     whole = tmin.isNotNull() & tmax.isNotNull()
-    return F.when(whole, 0.0023 * 0.408 * ra * ((tmax + tmin) / 2 + 17.8) * F.sqrt(F.greatest(tmax - tmin, F.lit(0.0))))
+    return F.when(whole, FAO[0] * 0.408 * ra * ((tmax + tmin) / 2 + FAO[1]) * F.sqrt(F.greatest(tmax - tmin, F.lit(0.0))))
 
 
 def et0_inputs(tmin: DataFrame, tmax: DataFrame, precip: DataFrame) -> DataFrame:
