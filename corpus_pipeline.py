@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from skyweave.llm import decontaminate, jaccard, language, mixing, secrets
 from skyweave.llm.common import cut, read
 
-#: What counts as evidence against a language: so many n-grams at least, of
-#: which the language has under this share, or leads the next by under this
-#: share of both. None of it depends on how many languages there are.
-ENOUGH, LEAST_SHARE, LEAST_LEAD = 40, 0.03, 0.03
+#: What counts as evidence against a text: so many n-grams at least, of which
+#: its language has under this share. It does not depend on how many languages
+#: there are.
+ENOUGH, LEAST_SHARE = 40, 0.03
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +24,12 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the filter is fitted on; ``lang`` becomes what was predicted.
 
     Texts that are null, empty or without a letter go. So do those with enough
-    n-grams of which hardly any belongs to a language, or as many to a second
-    one as to the first. A text too short to tell stays. Each row is judged by
+    n-grams of which hardly any belongs to the best language. A text too short
+    to tell stays, and so does one in two of the languages. Each row is judged by
     itself: repeats stay, an empty table stays empty, other columns are kept."""
     found = language.predict(docs, language.fit(docs))
-    both = F.col("n_best") + F.col("n_second")
     none = (F.col("n_grams") >= ENOUGH) & (F.col("n_best") < LEAST_SHARE * F.col("n_grams"))
-    even = (both >= ENOUGH) & (F.col("n_best") - F.col("n_second") < LEAST_LEAD * both)
-    kept = found.where((F.col("lang_pred") != "und") & ~none & ~even)
+    kept = found.where((F.col("lang_pred") != "und") & ~none)
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
