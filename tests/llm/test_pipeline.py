@@ -57,6 +57,21 @@ def test_stages_on_odd_tables(spark, tmp_path):
     assert kept[1] == [x for k, x in enumerate(kept[0]) if x != "7" or kept[0].index("7") == k] == kept[2] == kept[3] == kept[4]
 
 
+def test_languages_that_are_rejected(spark):
+    """Texts of no language go once there is enough of them to tell; short
+    ones and texts in two languages stay, with one language or with many."""
+    rng = random.Random(5)
+    parts = {"en": ["th", "ing", "er", "wh"], "de": ["sch", "zu", "ung", "ei"], "fr": ["eau", "qui", "ais", "mo"]}
+    text = lambda x, n=80: " ".join("".join(rng.choice(parts[x]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    odd = " ".join("".join(rng.choice("qxjkvz") for _ in range(6)) for _ in range(60))
+    for langs in (["en"], ["en", "de", "fr"]):
+        rows = [(i, text(x), x) for x in langs for i in range(30)]
+        rows += [(100, odd, None), (101, odd[:20], None), (102, f"{text(langs[0])} {text(langs[-1])}", None), (103, "12 !?", None), (104, "жизнь " * 30, None)]
+        docs = spark.createDataFrame([(i, t, x, "s", 1) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        kept = corpus_pipeline.identify(spark, docs, "").collect()
+        assert sorted(r["doc_id"] for r in kept if r["doc_id"] >= 100) == [101, 102] and len(kept) == 30 * len(langs) + 2
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
