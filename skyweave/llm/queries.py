@@ -85,13 +85,19 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.score(docs, tree, tokens).withColumn("held_out", held_out)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefixes
+
+    return prefixes.trie(read(spark, sf_dir, "conversations"), block=20).drop("n1", "n2")
+
+
 def queries() -> dict:
-    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op4_repeated_strings, op5_jaccard_join, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources, op10_suffix_tree_scores)
+    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op4_repeated_strings, op5_jaccard_join, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources, op10_suffix_tree_scores, op11_conversation_trie)
     return {f.__name__: f for f in mine}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, mixing, sql
+    from . import licenses, mixing, prefixes, sql
 
     return {
         "op2_license_scans": licenses.sql("documents"),
@@ -99,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard_join": sql.JACCARD_JOIN,
         "op7_embedding_dedup": sql.EMBEDDING_LINKS,
         "op9_mix_sources": mixing.SQL.format(docs="documents", columns=""),
+        "op11_conversation_trie": prefixes.SQL,
     }

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
@@ -22,5 +22,5 @@ def test_same_as_sql(spark, duck, name):
     other = duck.sql(queries.oracle_sql()[name]).df()
     columns = sorted(mine.columns)
     assert columns == sorted(other.columns)
-    tidy = lambda df: df[columns].astype(str).sort_values(columns).reset_index(drop=True)
+    tidy = lambda df: df[columns].convert_dtypes().astype(str).sort_values(columns).reset_index(drop=True)
     assert tidy(mine).equals(tidy(other))
