@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, shared_dir
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,13 +93,27 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.trie(read(spark, sf_dir, "conversations"), block=20).drop("n1", "n2")
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import centroids
+
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive(read(spark, sf_dir, "pages"), path)
+    return warc.opened(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op4_repeated_strings, op5_jaccard_join, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources, op10_suffix_tree_scores, op11_conversation_trie)
+    mine = (op1_secret_scans, op2_license_scans, op3_language_id, op4_repeated_strings, op5_jaccard_join, op6_decontaminate, op7_embedding_dedup, op8_chunk_dedup, op9_mix_sources, op10_suffix_tree_scores, op11_conversation_trie, op12_centroid_clusters, op13_web_archive)
     return {f.__name__: f for f in mine}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, mixing, prefixes, sql
+    from . import centroids, licenses, mixing, prefixes, sql, warc
 
     return {
         "op2_license_scans": licenses.sql("documents"),
@@ -106,4 +122,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_embedding_dedup": sql.EMBEDDING_LINKS,
         "op9_mix_sources": mixing.SQL.format(docs="documents", columns=""),
         "op11_conversation_trie": prefixes.SQL,
+        "op12_centroid_clusters": centroids.sql(),
+        "op13_web_archive": warc.SQL,
     }
