@@ -4,10 +4,10 @@ A text is the set of its word five-grams. In each tree of the forest a set has
 a signature of ``DEEP`` MinHash values; sorted, the signatures are a prefix
 trie, and two sets meet at the longest prefix that they share in any tree.
 Sets that share the shortest prefix, ``SHALLOW`` values, are brought together
-and the length at which each pair meets is found; the number of trees is such
-that a pair at the threshold shares that much with the target recall. Prefixes
-are then shortened from full length until those longer ones bring the target
-recall of the pairs that seem similar. What meets is verified exactly.
+and tied to those that seem similar; the number of trees is such that a pair
+at the threshold shares that much with the target recall. In each group that
+is tied together prefixes are then shortened from full length until they bring
+its least similar pairs the target recall. What meets is verified exactly.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.session import ship
@@ -146,11 +146,11 @@ class Trie:
 
 
 def _meet(threshold: float, spread: float):
-    """Finds where the pairs of a task meet that seem similar. A pair is looked
-    at in the first tree of its longest prefix. Returns links, as few as tie
-    together what is tied at each length of prefix, each to the least set that
-    is tied by then, so that other tasks return the same; and how many pairs
-    meet at each length."""
+    """Finds which sets of a task meet that seem similar. A pair is looked at
+    in the first tree of its longest prefix. Returns links, as few as tie
+    together what is tied, each to the least set that is tied by then, so that
+    other tasks return the same; with each the least similarity, as estimated,
+    of the task's pairs."""
 
     def compare(g: dict[str, list]) -> Iterator[dict]:
         order = sorted(range(len(g["node"])), key=g["node"].__getitem__)
@@ -158,33 +158,32 @@ def _meet(threshold: float, spread: float):
         tree, i, j = g["tree"][0], g["_i"][0], g["_j"][0]
         trie = Trie([g["sig"][k] for k in order])
         rights = np.flatnonzero(own == j)
-        lists: dict[int, list] = {}
-        pairs = np.zeros(DEEP + 1, np.int64)
+        labels, out, least = Labels(len(own)), [], 1.0
         for a in np.flatnonzero(own == i):
             others = rights[rights > a] if i == j else rights
             if not len(others):
                 continue
             length, first, near = trie.met(a, others)
-            mine = (length > 0) & (first == tree)
-            pairs += np.bincount(length[mine & (near >= threshold - 3 * spread)], minlength=DEEP + 1)
-            keep = np.flatnonzero(mine & (near >= threshold - 6 * spread))
-            for d in np.unique(length[keep]).tolist():
-                lists.setdefault(d, []).append((a, others[keep[length[keep] == d]]))
-        labels = Labels(len(own))
-        out = [(d, x, y) for d in sorted(lists, reverse=True) for a, bs in lists[d] for x, y in labels.tie(a, bs)]
-        counts = [(d, n) for d, n in enumerate(pairs.tolist()) if n]
-        if out or counts:
-            yield {
-                "a": [node[x] for _, x, _ in out] + [None] * len(counts),
-                "b": [node[y] for _, _, y in out] + [None] * len(counts),
-                "length": [d for d, _, _ in out] + [d for d, _ in counts],
-                "pairs": [0] * len(out) + [n for _, n in counts],
-            }
+            keep = np.flatnonzero((length > 0) & (first == tree) & (near >= threshold - 6 * spread))
+            if len(keep):
+                least = min(least, float(near[keep].min()))
+                out += labels.tie(a, others[keep])
+        if out:
+            yield {"a": [node[x] for x, _ in out], "b": [node[y] for _, y in out], "least": [least] * len(out)}
 
     return compare
 
 
-def _verify(threshold: float, spread: float, depth: int):
+def depth_at(similarity: Column, trees: int, recall: float) -> Column:
+    """The longest prefix that a pair of this similarity still shares in some
+    tree with probability ``recall``; ``SHALLOW`` where none is that long."""
+    out = F.lit(SHALLOW)
+    for d in range(SHALLOW + 1, DEEP + 1):
+        out = F.when(1 - F.pow(1 - F.pow(similarity, F.lit(d)), F.lit(trees)) >= recall, d).otherwise(out)
+    return out
+
+
+def _verify(threshold: float, spread: float):
     """Compares the two blocks of a task: exact overlaps of the gram sets of
     pairs that meet, in a group of one tree only those whose first tree it
     is."""
@@ -198,7 +197,7 @@ def _verify(threshold: float, spread: float, depth: int):
         node = [g["node"][k] for k in pick]
         sets = [np.frombuffer(g["grams"][k], np.uint64) for k in pick]
         trie = Trie([g["sig"][k] for k in pick])
-        i, j, tree = g["_i"][0], g["_j"][0], g["tree"][0]
+        i, j, tree, depth = (g[c][0] for c in ("_i", "_j", "tree", "depth"))
         size = np.array([len(s) for s in sets])
         edge = np.concatenate(([0], np.cumsum(size)))
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -271,18 +270,16 @@ def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, blo
     shared = cut(filed.groupBy("tree", "prefix").agg(F.count("*").alias("members")).where("members > 1"))
     filed = cut(deal(filed, ["tree", "prefix"], "node", shared, block))
     sig = nodes.select("node", "sig")
-    met = cut(grouped(filed.join(sig, "node"), ["tree", "prefix", "_i", "_j"], _meet(threshold, spread), "a binary, b binary, length int, pairs long"))
-    counts = {r["length"]: r["n"] for r in met.where("a is null").groupBy("length").agg(F.sum("pairs").alias("n")).collect()}  # one row a length
-    depth, caught = DEEP, counts.get(DEEP, 0)
-    while depth > SHALLOW and caught < recall * sum(counts.values()):
-        depth -= 1
-        caught += counts.get(depth, 0)
-    groups = components(met.where((F.col("length") >= depth) & F.col("a").isNotNull()).select("a", "b").distinct()).select("node", F.col("component").alias("group"))
+    met = cut(grouped(filed.join(sig, "node"), ["tree", "prefix", "_i", "_j"], _meet(threshold, spread), "a binary, b binary, least double"))
+    groups = cut(components(met.select("a", "b").distinct()).select("node", F.col("component").alias("group")))
+    # How far a group's prefixes are shortened follows from the least similar pair in it, however many others there are.
+    lows = met.groupBy(F.col("a").alias("node")).agg(F.min("least").alias("least")).join(groups, "node").groupBy("group").agg(F.min("least").alias("least"))
+    depths = lows.select("group", depth_at(F.greatest(F.col("least") - 3 * spread, F.lit(threshold)), trees, recall).alias("depth"))
     sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
-    place = cut(groups.join(sizes, "group"))
-    apart = place.where(F.col("members") > giant).select("node", "group").join(filed.select("node", "tree", "prefix").distinct(), "node")
-    place = place.where(F.col("members") <= giant).select("node", "group", F.lit(-1).alias("tree"), F.lit(b"").alias("prefix")).union(apart.select("node", "group", "tree", "prefix"))
-    key = ["group", "tree", "prefix"]
+    place = cut(groups.join(sizes, "group").join(depths, "group"))
+    apart = place.where(F.col("members") > giant).select("node", "group", "depth").join(filed.select("node", "tree", "prefix").distinct(), "node")
+    place = place.where(F.col("members") <= giant).select("node", "group", "depth", F.lit(-1).alias("tree"), F.lit(b"").alias("prefix")).union(apart.select("node", "group", "depth", "tree", "prefix"))
+    key = ["group", "depth", "tree", "prefix"]
     tasks = deal(place, key, "node", place.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1"), block)
     tasks = tasks.groupBy("node").agg(F.collect_list(F.struct(*key, "_i", "_j", "_b")).alias("tasks"))
     members = cut(nodes.join(tasks, "node").select("node", "copies", "sig", "tasks", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th")))
@@ -291,7 +288,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, blo
     # would make the shuffle jump.
     sets = _sets(rows.join(members.hint("shuffle_hash"), same_row(rows, members)).select("node", "copies", "sig", "tasks", "text"))
     dealt = sets.select("node", "copies", "sig", "grams", F.inline("tasks"))
-    found = cut(grouped(dealt, [*key, "_i", "_j"], _verify(threshold, spread, depth), "node binary, links long, root binary"))
+    found = cut(grouped(dealt, [*key, "_i", "_j"], _verify(threshold, spread), "node binary, links long, root binary"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     done = cut(nodes.select("node", "low", "copies").join(links, "node", "left").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node")))

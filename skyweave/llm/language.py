@@ -22,6 +22,10 @@ from skyweave.session import ship
 from .common import text_of
 from .textbytes import MIX, blocks, mixed, utf8
 
+#: Sampled texts for each text more that must hold an n-gram; n-grams that a
+#: language counts as having, at least.
+FEW, THIN = 20, 20_000
+
 _fold: list[np.ndarray] = []
 
 
@@ -90,8 +94,11 @@ def fit(docs: DataFrame, n: int = 4, per_language: int = 1500, share: float = 0.
 
     It is fitted on a bounded sample: about ``per_language`` rows of each
     language, those whose digest of id and text is lowest. An n-gram belongs
-    to a language where at least ``least`` of the sampled texts hold it and
-    its frequency is at least ``share`` of what it is where it is highest.
+    to a language where at least ``least`` of the sampled texts hold it (fewer
+    where few were sampled: one, and one more for each ``FEW``) and its
+    frequency is at least ``share`` of what it is where it is highest; a
+    language of few n-grams counts as one of ``THIN`` there, as a text or two
+    say little of frequencies.
     The masks go to every task, eight megabytes for each 64 languages: more
     than ``max_languages`` raise an error. Rows with a null language or text teach nothing."""
     ship(docs.sparkSession)
@@ -123,13 +130,15 @@ def fit(docs: DataFrame, n: int = 4, per_language: int = 1500, share: float = 0.
             if len(start):
                 yield pa.RecordBatch.from_arrays([pa.array([x] * len(start)), pa.array(h[start].view(np.int64)), pa.array(np.add.reduceat(c, start)), pa.array(np.diff(np.append(start, len(h))))], names=["lang", "h", "c", "d"])
 
-    counts = chosen.mapInArrow(count, "lang string, h long, c long, d long").groupBy("lang", "h").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).where(F.col("d") >= least)
+    counts = chosen.mapInArrow(count, "lang string, h long, c long, d long").groupBy("lang", "h").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    need = F.element_at(F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], min(least, 1 + min(r["count"], per_language) // FEW))]), F.col("lang"))
+    counts = counts.where(F.col("d") >= need)
     found = counts.toArrow()  # bounded by the sample
     code = np.array([langs.index(x) for x in found["lang"].to_pylist()], np.int64)
     h = found["h"].to_numpy().view(np.uint64) if found.num_rows else np.zeros(0, np.uint64)
     c = found["c"].to_numpy().astype(float) if found.num_rows else np.zeros(0)
     per = np.bincount(code, c, len(langs)) if len(code) else np.ones(len(langs))
-    f = c / np.maximum(per[code], 1)
+    f = c / np.maximum(per[code], THIN)
     order = np.lexsort((code, h))
     h, f, code = h[order], f[order], code[order]
     if len(h):
@@ -190,7 +199,7 @@ def _judge(model: Filter, offsets: np.ndarray, data: np.ndarray, limit: int = 1
     real = np.maximum(hits - total[:, None] * model.rate, 0) / (1 - np.minimum(model.rate, 0.999))
     best = np.where(some, np.argmax(real, 1), -1)
     ranked = np.sort(np.concatenate((np.zeros((docs, 1)), real), 1), 1)
-    score = (ranked[:, -1] + 1) / (real.sum(1) + langs)
+    score = np.where(ranked[:, -1] > 0, (ranked[:, -1] + 1) / (real.sum(1) + langs), 0.0)
     return best, np.where(some, np.clip(score, 0, 1), 0.0), total, ranked[:, -1], ranked[:, -2]
 
 
@@ -203,8 +212,9 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     ``n_second`` of the first two languages; columns of these names are
     replaced, others stay. A text that is null or has no letter is ``und`` with
     score 0. The score is the corrected count of the language as a share of all
-    languages' counts, one pseudo-count each. Ties go to the language that is
-    first by code points; row order and repeats stay as they are."""
+    languages' counts, one pseudo-count each, and 0 where no n-gram is known.
+    Ties go to the language that is first by code points, that of no known
+    n-gram too; row order and repeats stay as they are."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model.narrow())  # a fixed number of slots

@@ -96,3 +96,20 @@ def test_trees_for_a_recall():
 
 def test_empty(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hard_pairs_beside_a_large_cluster(spark):
+    """Pairs just at the threshold are found whatever else the table holds,
+    and in a group of near copies too."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows, n = [], 104
+    for k in range(600):
+        base = [word() for _ in range(n)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: n - 20]))]  # 80 of 100 grams
+    copy = [word() for _ in range(200)]
+    rows += [(5000 + k, " ".join([*copy, word()])) for k in range(1200)]
+    rows += [(9000, " ".join(copy[: 4 + 158]))]  # 158 of 197 grams
+    found = {r["doc_id"]: r["n_links"] for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[2 * k] for k in range(600)) == 600
+    assert found[9000] == 1200 and {found[5000 + k] for k in range(1200)} == {1200}

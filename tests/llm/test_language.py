@@ -84,3 +84,21 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     row = found.where("held_out").join(docs.where("lang is not null"), "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.count("*")).first()
     assert row[0] >= 0.98 and row[1] > 100
+
+
+def test_a_language_with_two_labelled_texts(spark):
+    """It is predicted, the pipeline keeps its texts, and texts of which no
+    n-gram is known have score 0."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    parts = {"big": ["th", "ing", "er", "wh", "tion", "on", "at"], "few": ["kw", "zo", "ujj", "ya", "pli", "ov"]}
+    text = lambda x: " ".join("".join(rng.choice(parts[x]) for _ in range(rng.randint(1, 3))) for _ in range(60))
+    rows = [(i, text("big"), "big", "a", 1) for i in range(50)] + [(100 + i, text("few"), "few" if i < 2 else None, "a", 1) for i in range(12)]
+    rows += [(200, "ßäöü " * 3, None, "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: r for r in language.predict(docs.drop("lang"), language.fit(docs)).collect()}
+    assert {found[100 + i]["lang_pred"] for i in range(12)} == {"few"} and {found[i]["lang_pred"] for i in range(50)} == {"big"}
+    assert found[200]["score"] == 0.0 and found[200]["lang_pred"] == "big"
+    kept = {r["doc_id"] for r in corpus_pipeline.identify(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows}
