@@ -8,14 +8,18 @@ descriptions and the axes, which are short, are read by the driver.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import json
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyweave.session import ship
 
@@ -94,8 +98,19 @@ def described(spark: SparkSession, path: str, name: str) -> tuple[dict, dict]:
     return meta, _json(spark, f"{path}/{name}/.zattrs")
 
 
-def _chunks(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/{name}").select("path", "content")
+def _chunks(spark: SparkSession, path: str, name: str, ranges: list[tuple[int, int]] | None = None, separator: str = ".") -> DataFrame | None:
+    """Files of an array's chunks; with ``ranges``, only those whose places
+    lie in them, none where there is not one such file."""
+    files = spark.read.format("binaryFile")
+    if ranges is None:
+        return files.option("recursiveFileLookup", True).load(f"{path}/{name}").select("path", "content")
+    glob = separator.join("{" + ",".join(map(str, range(a, b))) + "}" for a, b in ranges)
+    try:
+        return files.load(f"{path}/{name}/{glob}").select("path", "content")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def _place(path: str, name: str, dims: int) -> list[int] | None:
@@ -124,39 +139,104 @@ def dates(values: np.ndarray, units: str) -> np.ndarray:
     return np.floor(values * UNITS[unit.strip().lower()] + 1e-9).astype(np.int64) + (start - dt.date(1970, 1, 1)).days
 
 
-def read_zarr(spark: SparkSession, path: str, variable: str, time: str = "time", lat: str = "lat", lon: str = "lon") -> DataFrame:
+CELLS = "time date, lat_i int, lon_i int, lat double, lon double, value double"
+#: A part of a grid: steps, rows and columns from one to before another.
+Window = tuple[tuple[int, int], tuple[int, int], tuple[int, int]]
+
+
+@dataclass(frozen=True)
+class Cube:
+    """A variable on dimensions time, lat and lon, in that order, with its
+    axes: days since 1970, and degrees."""
+
+    meta: dict
+    attrs: dict
+    days: np.ndarray
+    lats: np.ndarray
+    lons: np.ndarray
+
+    def __post_init__(self):
+        if len(self.meta["shape"]) != 3:
+            raise ValueError("a variable is not on time, lat and lon")
+
+    def window(self, days: tuple[float, float], lats: tuple[float, float], lons: tuple[float, float]) -> Window | None:
+        """The least part that holds all steps and cells between the given
+        values, ends included; none where there are none. Axes may run either
+        way, or in no order."""
+        out = []
+        for values, (low, high), n in zip((self.days, self.lats, self.lons), (days, lats, lons), self.meta["shape"]):
+            at = np.flatnonzero((values[:n] >= low) & (values[:n] <= high))
+            if not len(at):
+                return None
+            out.append((int(at[0]), int(at[-1]) + 1))
+        return tuple(out)
+
+    def places(self, window: Window) -> list[tuple[int, int, int]]:
+        """The chunks that a window touches."""
+        return list(itertools.product(*(range(a // c, -(-b // c)) for (a, b), c in zip(window, self.meta["chunks"]))))
+
+    def name(self, place: tuple[int, int, int]) -> str:
+        return self.meta.get("dimension_separator", ".").join(map(str, place))
+
+    def cells(self, content: bytes, place: list[int], window: Window | None = None) -> Iterator[pa.RecordBatch]:
+        """A chunk's cells within the window, one step at a time. Scale and
+        offset are applied; fill values and NaN are null."""
+        fills = [float(x) for x in (self.meta.get("fill_value"), self.attrs.get("_FillValue"), self.attrs.get("missing_value")) if x is not None and x != "NaN"]
+        scale, offset = self.attrs.get("scale_factor", 1.0), self.attrs.get("add_offset", 0.0)
+        at = [p * c for p, c in zip(place, self.meta["chunks"])]
+        window = window or tuple((0, n) for n in self.meta["shape"])
+        part = [(max(a, x), min(a + c, y)) for a, c, (x, y) in zip(at, self.meta["chunks"], window)]
+        if any(x >= y for x, y in part):
+            return
+        block = decode(content, self.meta)[tuple(slice(x - a, y - a) for a, (x, y) in zip(at, part))]
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(*part[1]), np.arange(*part[2]), indexing="ij"))
+        for k, field in enumerate(block):
+            v = field.ravel().astype(np.float64)
+            gone = ~np.isfinite(v) | np.isin(v, fills)
+            day = np.full(len(v), self.days[part[0][0] + k], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(day).cast(pa.date32()), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(self.lats[i]), pa.array(self.lons[j]), pa.array(v * scale + offset, mask=gone)],
+                names=["time", "lat_i", "lon_i", "lat", "lon", "value"],
+            )
+
+
+def day_number(day: str | dt.date | None, other: float) -> float:
+    day = dt.date.fromisoformat(day) if isinstance(day, str) else day
+    return other if day is None else float((day - dt.date(1970, 1, 1)).days)
+
+
+def read_zarr(
+    spark: SparkSession, path: str, variable: str, time: str = "time", lat: str = "lat", lon: str = "lon",
+    start: str | None = None, end: str | None = None, box: tuple[float, float, float, float] | None = None,
+) -> DataFrame:
     """``(time, lat_i, lon_i, lat, lon, value)`` of a variable on dimensions
-    time, lat and lon, in that order.
+    time, lat and lon, in that order, from ``start`` to ``end`` and in the box
+    (west, south, east, north), if there are such.
 
-    ``scale_factor`` and ``add_offset`` are applied; fill values and NaN are
-    null; a chunk that is not there has no rows. Compressors are none, zlib,
-    gzip, zstd, lz4 and blosc with these."""
+    Which chunks hold these follows from the axes; only their files are opened,
+    by any file system that Spark reads. ``scale_factor`` and ``add_offset`` are
+    applied; fill values and NaN are null; a chunk that is not there has no
+    rows. Compressors are none, zlib, gzip, zstd, lz4 and blosc with these."""
     meta, attrs = described(spark, path, variable)
-    if len(meta["shape"]) != 3:
-        raise ValueError(f"{variable} is not on time, lat and lon")
     days = dates(axis(spark, path, time), described(spark, path, time)[1]["units"])
-    lats, lons = axis(spark, path, lat), axis(spark, path, lon)
-    scale, offset = attrs.get("scale_factor", 1.0), attrs.get("add_offset", 0.0)
-    fills = [float(x) for x in (meta.get("fill_value"), attrs.get("_FillValue"), attrs.get("missing_value")) if x is not None and x != "NaN"]
+    cube = Cube(meta, attrs, days, axis(spark, path, lat), axis(spark, path, lon))
+    west, south, east, north = box or (-np.inf, -np.inf, np.inf, np.inf)
+    window = cube.window((day_number(start, -np.inf), day_number(end, np.inf)), (south, north), (west, east))
+    if window is None:
+        return spark.createDataFrame([], CELLS)
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 place = _place(where, variable, 3)
-                if place is None:
-                    continue
-                block = decode(content.as_py(), meta)
-                at = [p * c for p, c in zip(place, meta["chunks"])]
-                block = block[tuple(slice(0, n - a) for n, a in zip(meta["shape"], at))]
-                i, j = (x.ravel() for x in np.meshgrid(np.arange(block.shape[1]) + at[1], np.arange(block.shape[2]) + at[2], indexing="ij"))
-                for k, field in enumerate(block):  # a step at a time
-                    v = field.ravel().astype(np.float64)
-                    gone = ~np.isfinite(v) | np.isin(v, fills)
-                    day = np.full(len(v), days[at[0] + k], np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(day).cast(pa.date32()), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(lats[i]), pa.array(lons[j]), pa.array(v * scale + offset, mask=gone)],
-                        names=["time", "lat_i", "lon_i", "lat", "lon", "value"],
-                    )
-
-    return _chunks(spark, path, variable).mapInArrow(run, "time date, lat_i int, lon_i int, lat double, lon double, value double")
+                if place is not None:
+                    yield from cube.cells(content.as_py(), place, window)
+
+    chosen = _chunks(spark, path, variable, [(a // c, -(-b // c)) for (a, b), c in zip(window, meta["chunks"])], meta.get("dimension_separator", "."))
+    found = spark.createDataFrame([], CELLS) if chosen is None else chosen.mapInArrow(run, CELLS)
+    if start:
+        found = found.where(F.col("time") >= F.lit(start).cast("date"))
+    if end:
+        found = found.where(F.col("time") <= F.lit(end).cast("date"))
+    return found if box is None else found.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
