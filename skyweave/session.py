@@ -18,6 +18,18 @@ _shipped: set[str] = set()
 BATCH, DEFAULT = "16m", "67108864b"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``;
+    one is made only where none is named and all runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skyweave-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python once per application, so
     that functions which run there find it without any set-up; and bound what

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions import calendar as C
 from skyweave.functions.stats import nan_to_null
+from skyweave.sources import manifest as M
 
 OBS = "dataset string, res string, variable string, time date, lat_i int, lon_i int, lat double, lon double, value double"
 
@@ -50,12 +51,31 @@ def field(spark: SparkSession, path: str, dataset: str, res: str, variable: str,
     return found if box is None else found.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
 
 
-def write_obs(obs: DataFrame, path: str, mode: str = "append") -> None:
-    """Keep ``obs`` by dataset, resolution, variable and year, sorted by cell
-    and time within files. NaN becomes null."""
-    rows = obs.withColumn("value", nan_to_null(F.col("value"))).withColumn("year", F.year("time"))
+def morton(i: Column, j: Column) -> Column:
+    """A cell's place on a curve that keeps neighbours together: the bits of
+    either index by turns."""
+
+    def spread(x: Column) -> Column:
+        x = x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    return spread(i).bitwiseOR(F.shiftleft(spread(j), 1))
+
+
+def write_obs(obs: DataFrame, path: str, mode: str = "append", rows_a_file: int = 1 << 21) -> None:
+    """Keep ``obs`` by dataset, resolution, variable and year. NaN becomes
+    null.
+
+    Within these, cells lie along the Morton curve and a cell's times follow
+    each other; tasks take stretches of that order and files have
+    ``rows_a_file`` rows at most, so there are as many as the rows need, and
+    each is about a small part of the grid, which its statistics tell."""
+    rows = obs.withColumn("value", nan_to_null(F.col("value"))).withColumns({"year": F.year("time"), "_z": morton(F.col("lat_i"), F.col("lon_i"))})
     key = ["dataset", "res", "variable", "year"]
-    rows.repartition(*key, F.pmod(F.hash("lat_i", "lon_i"), F.lit(8))).sortWithinPartitions(*key, "lat_i", "lon_i", "time").write.mode(mode).partitionBy(*key).parquet(path)
+    laid = rows.repartitionByRange(*key, "_z").sortWithinPartitions(*key, "_z", "time").drop("_z")
+    laid.write.mode(mode).option("maxRecordsPerFile", rows_a_file).partitionBy(*key).parquet(path)
 
 
 def unseen(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,27 +98,27 @@ def stored_obs(spark: SparkSession, path: str) -> DataFrame | None:
 def append_unseen(incoming: DataFrame, path: str) -> None:
     """Append what is new to a store; the first call makes it. New is what the
     store has no row of for that time and cell: of a step that comes in two
-    parts, both stay. Only the years that come in are looked up."""
-    key = ["dataset", "res", "variable", "time", "lat_i", "lon_i"]
-    stored = stored_obs(incoming.sparkSession, path)
-    if stored is not None:
-        years = [r[0] for r in incoming.select(F.year("time")).distinct().collect()]  # some hundred at most
-        incoming = unseen(incoming, stored.where(F.col("year").isin(years)), key)
-    write_obs(incoming, path)
+    parts, both stay. What it has is told by its manifest, without a look at
+    any row of it; an append that was cut short is made up for first. Rows
+    without a time have no place and are left out."""
+    M.append(incoming.where("time is not null"), path)
 
 
 def grid_axis(obs: DataFrame) -> DataFrame:
-    """``(axis, i, coord)`` of the grid's two axes."""
-    pairs = obs.select(F.explode(F.array(F.struct(F.lit("lat").alias("axis"), F.col("lat_i").alias("i"), F.col("lat").alias("coord")), F.struct(F.lit("lon").alias("axis"), F.col("lon_i").alias("i"), F.col("lon").alias("coord")))).alias("a"))
-    return pairs.select("a.*").distinct()
+    """``(axis, i, coord)`` of the grid's two axes, gathered in one aggregate
+    that is as long as they are."""
+    ends = [F.transform(F.collect_set(F.struct(F.col(f"{a}_i").alias("i"), F.col(a).alias("coord"))), lambda s, a=a: F.struct(F.lit(a).alias("axis"), s["i"].alias("i"), s["coord"].alias("coord"))) for a in ("lat", "lon")]
+    return obs.agg(F.concat(*ends).alias("all")).select(F.inline("all"))
 
 
 def info(obs: DataFrame, by: list[str], res: str = "daily") -> DataFrame:
     """For each of ``by`` the box (six decimals), the mean step of either axis,
     the times covered as labels, and how many there are."""
-    steps = lambda k: F.try_divide(F.max(k) - F.min(k), (F.count_distinct(k) - 1).cast("double"))
+    # Sets as long as an axis: distinct counts would read each row three times.
+    distinct = lambda k: F.size(F.collect_set(k)).cast("long")
+    steps = lambda k: F.try_divide(F.max(k) - F.min(k), (distinct(k) - 1).cast("double"))
     box = [F.round(f(k), 6).alias(n) for f, k, n in ((F.min, "lon", "west"), (F.max, "lon", "east"), (F.min, "lat", "south"), (F.max, "lat", "north"))]
-    out = obs.groupBy(*by).agg(*box, F.round(steps("lon"), 6).alias("step_lon"), F.round(steps("lat"), 6).alias("step_lat"), F.min("time").alias("_a"), F.max("time").alias("_b"), F.count_distinct("time").alias("n_times"))
+    out = obs.groupBy(*by).agg(*box, F.round(steps("lon"), 6).alias("step_lon"), F.round(steps("lat"), 6).alias("step_lat"), F.min("time").alias("_a"), F.max("time").alias("_b"), distinct("time").alias("n_times"))
     name = lambda d: C.label(F.col(d), res)
     return out.withColumns({"start": name("_a"), "end": name("_b")}).drop("_a", "_b")
 
