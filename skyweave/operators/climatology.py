@@ -29,6 +29,62 @@ def slots(series: DataFrame, res: str, first_year: int, last_year: int, window:
     return series.withColumn("slot", C.slot(t, res)).withColumn("year", F.year(t)).where(F.col("year").between(first_year, last_year))
 
 
+#: Statistics that follow from moments of parts.
+FROM_PARTS = ("mean", "stdev", "cv", "min", "max", "frequency")
+
+
+def _targets(t: Column, first_year: int, last_year: int, window: int) -> Column:
+    """The slots that a day's value goes to: those of the days around it, as
+    :func:`slots` has them."""
+    near = F.transform(F.sequence(F.lit(-window), F.lit(window)), lambda k: F.date_add(t, k))
+    leap = lambda d: (F.month(d) == 2) & (F.day(d) == 29)
+    good = F.filter(near, lambda d: (~leap(d) | (d == t)) & F.year(d).between(first_year, last_year))
+    return F.transform(good, lambda d: C.slot(d, "daily"))
+
+
+def windowed(series: DataFrame, keys: list[str], value: str, first_year: int, last_year: int, window: int, time: str = "time", op: str = ">=", threshold: float = 1.0) -> DataFrame:
+    """``(keys…, slot, n, mean, stdev, min, max, hits)`` of a daily climatology
+    with ``window`` days on either side.
+
+    Days that go to the same slots are summed up first, over all years: some
+    four hundred rows a key. Those, not the days, go to the slots around them,
+    where their moments are merged without sums of squares. Such days have
+    month and day in common and, where the window reaches as far, whether there
+    is a 29 February and at which end of the base period they are."""
+    v, t = F.col(value), F.col(time)
+    year, day = F.year(t), F.dayofyear(t)
+    leap = F.when(F.abs(day - 60) <= window + 1, F.dayofyear(F.make_date(year, F.lit(12), F.lit(31))) == 366).otherwise(F.lit(False))
+    edge = F.when((day <= window) | (day > 365 - window) | ~year.between(first_year, last_year), year).otherwise(F.lit(0))
+    alike = [(F.month(t) * 100 + F.day(t)).alias("_md"), leap.alias("_leap"), edge.alias("_edge")]
+    sums = series.where(year.between(first_year - 1, last_year + 1)).groupBy(*keys, *alike).agg(
+        F.min(t).alias("_one"),
+        F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"), F.min(v).alias("min"), F.max(v).alias("max"), F.count_if(compare(v, op, threshold)).alias("hits")
+    )
+    near = sums.withColumn("slot", F.explode(_targets(F.col("_one"), first_year, last_year, window))).groupBy(*keys, "slot").agg(
+        F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean", "m2")))).alias("_all"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("hits").alias("hits")
+    )
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def merge(a: Column, b: Column) -> Column:
+        n, off = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + off * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + off * off * a["n"] * b["n"] / n).alias("m2"))
+
+    done = near.withColumn("_m", F.aggregate("_all", none, merge))
+    some = F.col("_m.n") > 0
+    return done.select(*keys, "slot", F.col("_m.n").alias("n"), F.when(some, F.col("_m.mean")).alias("mean"), F.when(some, F.sqrt(F.col("_m.m2") / F.col("_m.n"))).alias("stdev"), "min", "max", "hits")
+
+
+def windowed_statistic(found: DataFrame, keys: list[str], name: str, min_years: int = 30) -> DataFrame:
+    """``(keys…, slot, n, value)`` from :func:`windowed`, for a name in
+    ``FROM_PARTS``; for ``mean-stdev`` two rows each, as :func:`mean_stdev`."""
+    n = F.col("n")
+    if name == "mean-stdev":
+        two = F.stack(F.lit(2), F.lit("mean"), F.col("mean"), F.lit("stdev"), F.col("stdev")).alias("stat", "value")
+        return found.select(*keys, "slot", "n", two).withColumn("value", F.when(n >= min_years, F.col("value")))
+    value = {"cv": F.coalesce(100 * F.try_divide(F.col("stdev"), F.col("mean")), F.lit(0.0)), "frequency": F.try_divide(100.0 * F.col("hits"), n)}.get(name, F.col(name if name in found.columns else "mean"))
+    return found.select(*keys, "slot", "n", F.when(n >= min_years, value).alias("value"))
+
+
 def statistic(v: Column, name: str, op: str = ">=", threshold: float = 1.0, percent: list[float] = (50.0,)) -> Column:
     n = F.count(v)
     return {

@@ -68,11 +68,12 @@ def span_of(obs: DataFrame) -> DataFrame:
     return obs.agg(F.min("time").alias("_a"), F.max("time").alias("_b"))
 
 
-def index(obs: DataFrame, keys: list[str], name: str, season: Season) -> DataFrame:
+def index(obs: DataFrame, keys: list[str], name: str, season: Season, span: DataFrame | None = None) -> DataFrame:
     """``(keys…, season_year, n_valid, value)`` of index ``name`` from
     ``obs(keys…, time, variables…)``; days may be absent, and are as days
-    without a value from the first to the last day of all. Keys without a row
-    in any season are left out.
+    without a value from the first to the last day of all. These two are read
+    from ``obs``, its column of times alone, or are given as ``span(_a, _b)``
+    where they are known. Keys without a row in any season are left out.
 
     Null unless the season's days up to the last of all, and those with a
     value, make up ``min_frac`` of it. Spells are runs of days that are wet (at
@@ -114,14 +115,14 @@ def index(obs: DataFrame, keys: list[str], name: str, season: Season) -> DataFra
         pick = F.sum(F.floor(length / season.spell)) if name.startswith("Num") else F.max(length)
         per = runs.groupBy(*group).agg(F.sum("_valid").alias("n_valid"), pick.cast("double").alias("_value"))
     empty = None if name in ("RainInt", "MinTemp", "MaxTemp", "MeanTemp") else 0.0
-    return _judged(per, keys, season, span_of(obs), empty)
+    return _judged(per, keys, season, span_of(obs) if span is None else span, empty)
 
 
-def month_season(obs: DataFrame, keys: list[str], value: str, function: str, first_month: int, last_month: int, min_frac: float) -> DataFrame:
+def month_season(obs: DataFrame, keys: list[str], value: str, function: str, first_month: int, last_month: int, min_frac: float, span: DataFrame | None = None) -> DataFrame:
     """Sum or mean over a season of whole months; February has 28 days."""
     ends = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
     season = Season(first_month * 100 + 1, last_month * 100 + ends[last_month - 1], min_frac=min_frac)
     v = F.col(value).cast("double")
     made = F.coalesce(F.sum(v), F.lit(0.0)) if function == "sum" else F.avg(v)
     per = season_days(obs, season).groupBy(*keys, "season_year").agg(F.count(v).alias("n_valid"), made.alias("_value"))
-    return _judged(per, keys, season, span_of(obs), 0.0 if function == "sum" else None)
+    return _judged(per, keys, season, span_of(obs) if span is None else span, 0.0 if function == "sum" else None)

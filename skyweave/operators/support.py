@@ -115,11 +115,76 @@ def bounds(zones: DataFrame) -> DataFrame:
     return zones.withColumns({"west": low("x"), "east": high("x"), "south": low("y"), "north": high("y")})
 
 
+def edges(zones: DataFrame) -> DataFrame:
+    """``(zone, ax, ay, bx, by)``: the sides of all rings, those from a point
+    to itself left out. A ring that does not end where it begins is closed."""
+    ring = F.col("ring")
+    closed = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    rings = zones.select("zone", F.explode("rings").alias("ring")).where(F.size("ring") > 0).withColumn("ring", closed)
+    sides = rings.select("zone", F.explode(F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1).alias("a"), F.slice("ring", 2, F.size("ring") - 1).alias("b"))).alias("s"))
+    found = sides.select("zone", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    return found.where("ax <> bx or ay <> by")
+
+
+def polygon_runs(axes: Axes, zones: DataFrame) -> DataFrame:
+    """``(zone, lat_i, first, last)``: the runs of columns whose centres lie
+    strictly inside a zone, row by row of the grid.
+
+    Each side of a ring is dealt to the rows that it reaches; there it gives
+    the longitude at which it crosses. Sorted, a row's crossings bound its runs
+    by pairs, so cost grows with sides and the rows they span, not with the
+    cells of a box times its sides. Centres on a side are outside: runs leave
+    out crossings, and what lies level with a row, corners and flat sides,
+    is cut out of its runs."""
+    lat, lon = axes.lat(), lambda j: axes.lon0 + axes.dlon * j
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    a, b = F.floor((low - axes.lat0) / axes.dlat), F.floor((high - axes.lat0) / axes.dlat)
+    first, last = F.least(a, b), F.greatest(a, b) + 1
+    if axes.rows is not None:
+        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(axes.rows - 1))
+    reach = F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+    lines = edges(zones).withColumn("lat_i", F.explode(reach)).withColumn("y", lat)
+    crosses = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
+    at = F.col("ax") + (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+    ends = F.array_sort(F.array("ax", "bx"))
+    flat = (F.col("ay") == F.col("y")) & (F.col("by") == F.col("y"))
+    level = F.when(flat, F.struct(ends[0].alias("a"), ends[1].alias("b"))).when(F.col("ay") == F.col("y"), F.struct(F.col("ax").alias("a"), F.col("ax").alias("b")))
+    rows = lines.groupBy("zone", "lat_i").agg(F.array_sort(F.collect_list(F.when(crosses, at))).alias("x"), F.collect_set(level).alias("level"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("x") - 1, F.lit(2)), lambda k: F.struct(F.element_at("x", k).alias("a"), F.element_at("x", k + 1).alias("b")))
+    spans = rows.where(F.size("x") > 1).select("zone", "lat_i", F.array_sort("level").alias("level"), F.explode(pairs).alias("s"))
+    # What lies between the level parts of a row; of those that overlap, the farthest end counts.
+    since = F.transform(F.sequence(F.lit(0), F.size("level")), lambda k: F.greatest(F.col("s.a"), F.array_max(F.transform(F.slice("level", 1, k), lambda p: p["b"]))))
+    until = F.concat(F.transform("level", lambda p: F.least(F.col("s.b"), p["a"])), F.array("s.b"))
+    free = spans.select("zone", "lat_i", F.explode(F.arrays_zip(since.alias("a"), until.alias("b"))).alias("s"))
+    inside = lambda j: (lon(j) > F.col("s.a")) & (lon(j) < F.col("s.b"))
+    u, v = (F.col("s.a") - axes.lon0) / axes.dlon, (F.col("s.b") - axes.lon0) / axes.dlon
+    one, other = F.floor(F.least(u, v)), F.ceil(F.greatest(u, v))
+    # The quotients say where about a run begins and ends; the centres themselves decide.
+    first = F.coalesce(*[F.when(inside(one + k), one + k) for k in range(-1, 3)])
+    last = F.coalesce(*[F.when(inside(other - k), other - k) for k in range(-1, 3)])
+    if axes.cols is not None:
+        first, last = F.when(first.isNotNull(), F.greatest(first, F.lit(0))), F.when(last.isNotNull(), F.least(last, F.lit(axes.cols - 1)))
+    return free.select("zone", "lat_i", first.cast("int").alias("first"), last.cast("int").alias("last")).where("first <= last")
+
+
 def polygon_cells(axes: Axes, zones: DataFrame) -> DataFrame:
-    """Cells whose centre lies strictly inside a zone: those of its box by
-    arithmetic, then ray casting."""
-    box = axes.spread(bounds(zones), *[F.col(k) for k in ("west", "south", "east", "north")])
-    return box.where(within(F.col("rings"), F.col("lon"), F.col("lat"))).select(F.col("zone").alias("site"), *CELL)
+    """Cells whose centre lies strictly inside a zone, from
+    :func:`polygon_runs`."""
+    return polygon_runs(axes, zones).select(F.col("zone").alias("site"), "lat_i", F.explode(F.sequence("first", "last")).alias("lon_i"))
+
+
+#: Columns of the grid that are looked up together when rows meet runs.
+WIDTH = 32
+
+
+def on_runs(obs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``obs`` with ``site``, once for each run that a row's cell lies in: a
+    join of ranges. Runs are cut at every ``WIDTH`` columns, so that rows meet
+    only runs of their row and stretch, by an ordinary join of keys."""
+    cut = F.sequence(F.floor(F.col("first") / WIDTH).cast("int"), F.floor(F.col("last") / WIDTH).cast("int"))
+    near = runs.select(F.col("zone").alias("site"), "lat_i", F.col("first").alias("_first"), F.col("last").alias("_last"), F.explode(cut).alias("_w"))
+    met = obs.withColumn("_w", F.floor(F.col("lon_i") / WIDTH).cast("int")).join(near, ["lat_i", "_w"])
+    return met.where(F.col("lon_i").between(F.col("_first"), F.col("_last"))).select(*[obs[c] for c in obs.columns], "site")
 
 
 def mask(obs: DataFrame, chosen: DataFrame, value: str) -> DataFrame:
@@ -128,6 +193,11 @@ def mask(obs: DataFrame, chosen: DataFrame, value: str) -> DataFrame:
     return obs.join(hit, CELL, "left").withColumn(value, F.when(F.col("_hit"), F.col(value))).drop("_hit")
 
 
+def run_mean(obs: DataFrame, runs: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """:func:`spatial_mean` over zones given by their runs."""
+    return on_runs(obs, runs).groupBy("site", *by).agg(*[F.avg(v).alias(v) for v in values])
+
+
 def spatial_mean(obs: DataFrame, chosen: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     """Unweighted means over each site's cells; missing cells are left out."""
     return obs.join(chosen, CELL).groupBy("site", *by).agg(*[F.avg(v).alias(v) for v in values])

@@ -41,8 +41,9 @@ class Engine:
     def info(self) -> DataFrame:
         return G.info(self.obs.withColumn("dataset", F.lit("obs")), ["dataset"])
 
-    def at(self, support: Support, variables: list[str]) -> tuple[DataFrame, list[str]]:
-        """Observations on a support, and the columns that tell its parts."""
+    def on(self, support: Support, variables: list[str]) -> tuple[DataFrame, list[str]]:
+        """Observations on a support, each by itself, and the columns that tell
+        the support's parts; those of sites and zones are yet to be averaged."""
         obs, cell = self.obs, P.CELL
         axes = self.axes
         spark = obs.sparkSession
@@ -51,31 +52,40 @@ class Engine:
             return take(obs), cell
         if isinstance(support, BBox):
             box = (support.west, support.south, support.east, support.north)
+            inside = take(P.bbox(obs, *box))
+            return (inside.withColumn("site", F.lit("rectangle")), ["site"]) if support.average else (inside, cell)
+        if isinstance(support, Points):
+            return take(obs).join(P.point_cells(axes, L.sites(spark, list(support.points)), support.pad), cell), ["site"]
+        if isinstance(support, Polygons):
+            zones = L.zones(spark, support.polygons)
             if not support.average:
-                return take(P.bbox(obs, *box)), cell
-            chosen = P.bbox_cells(spark, axes, *box)
-        elif isinstance(support, Points):
-            chosen = P.point_cells(axes, L.sites(spark, list(support.points)), support.pad)
-        elif isinstance(support, Polygons):
-            chosen = P.polygon_cells(axes, L.zones(spark, support.polygons))
-            if not support.average:
-                return take(obs.join(chosen.select(*cell).distinct(), cell, "left_semi")), cell
-        elif isinstance(support, GeoJSON):
+                return take(obs.join(P.polygon_cells(axes, zones).select(*cell).distinct(), cell, "left_semi")), cell
+            return P.on_runs(take(obs), P.polygon_runs(axes, zones)), ["site"]
+        if isinstance(support, GeoJSON):
             features = L.geojson(spark, support.path, support.field)
-            points = P.point_cells(axes, L.geojson_sites(features), support.pad)
-            chosen = P.polygon_cells(axes, L.geojson_zones(features)).unionByName(points)
-        else:
-            raise TypeError(f"no support: {support!r}")
-        return P.spatial_mean(obs, chosen, variables, ["time"]), ["site"]
+            points = take(obs).join(P.point_cells(axes, L.geojson_sites(features), support.pad), cell)
+            return P.on_runs(take(obs), P.polygon_runs(axes, L.geojson_zones(features))).unionByName(points), ["site"]
+        raise TypeError(f"no support: {support!r}")
+
+    def at(self, support: Support, variables: list[str]) -> tuple[DataFrame, list[str]]:
+        """Observations on a support, and the columns that tell its parts: a
+        site's or a zone's are means over its cells."""
+        rows, keys = self.on(support, variables)
+        return self._met(rows, keys, variables), keys
+
+    @staticmethod
+    def _met(rows: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
+        return rows if keys != ["site"] else rows.groupBy("site", "time").agg(*[F.avg(v).alias(v) for v in variables])
 
     def raw(self, spec: Series) -> DataFrame:
         """``(keys…, period, n_valid, value)`` of a variable."""
-        obs, keys = self.at(spec.support, [spec.variable])
-        obs = R.time_range(obs, spec.start, spec.end).withColumnRenamed(spec.variable, "value")
+        rows, keys = self.on(spec.support, [spec.variable])
+        rows = R.time_range(rows, spec.start, spec.end)
+        obs = self._met(rows, keys, [spec.variable]).withColumnRenamed(spec.variable, "value")
         if spec.res == spec.source:
             return obs.select(*keys, F.col("time").alias("period"), F.col("value").isNotNull().cast("long").alias("n_valid"), "value")
         season = {"season_start": spec.season_start, "length": spec.length, "full_year": spec.full_year} if spec.res == "seasonal" else {}
-        return R.resample(obs, keys, "value", spec.res, spec.function, spec.source, spec.mode, spec.min_frac, spec.op, spec.threshold, **season)
+        return R.resample(obs, keys, "value", spec.res, spec.function, spec.source, spec.mode, spec.min_frac, spec.op, spec.threshold, rows.select("time"), **season)
 
     def _statistic(self, series: DataFrame, keys: list[str], spec: Climatology) -> DataFrame:
         how = {"min_years": spec.min_years}
@@ -93,6 +103,9 @@ class Engine:
         """A statistic for each slot of the year."""
         data = self.raw(series)
         keys = [c for c in data.columns if c in ("lat_i", "lon_i", "site")]
+        if series.res == "daily" and spec.window and spec.statistic in (*K.FROM_PARTS, "mean-stdev"):
+            found = K.windowed(data, keys, "value", spec.first_year, spec.last_year, spec.window, "period", spec.op, spec.threshold)
+            return K.windowed_statistic(found, keys, spec.statistic, spec.min_years)
         return self._statistic(K.slots(data, series.res, spec.first_year, spec.last_year, spec.window), [*keys, "slot"], spec)
 
     def anomaly(self, series: Series, kind: str, spec: Climatology) -> DataFrame:
@@ -105,8 +118,8 @@ class Engine:
     def season(self, spec: SeasonIndex) -> DataFrame:
         """A season's index, one row a key and year."""
         parts = list(S.VARIABLES[spec.index])
-        obs, keys = self.at(spec.support, parts)
-        return S.index(obs, keys, spec.index, spec.season)
+        rows, keys = self.on(spec.support, parts)
+        return S.index(self._met(rows, keys, parts), keys, spec.index, spec.season, S.span_of(rows))
 
     def season_climatology(self, index: SeasonIndex, spec: Climatology) -> DataFrame:
         data = self.season(index).withColumnRenamed("season_year", "year").where(F.col("year").between(spec.first_year, spec.last_year))

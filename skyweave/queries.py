@@ -7,6 +7,7 @@ either engine's results compare as they are.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ from skyweave.operators import season as S
 from skyweave.operators import support as P
 from skyweave.plans.engine import Engine
 from skyweave.plans.specs import BBox, Climatology, Original, Points, Polygons, SeasonIndex, Series
+from skyweave.session import shared_dir
+from skyweave.sources import cube
 from skyweave.sources import grid as G
+from skyweave.sources import manifest as M
 from skyweave.sources import places as L
 from skyweave.sources import sinks
 
@@ -94,6 +98,11 @@ def _points(pad: int):
     return lambda s, d: P.point_cells(AXES, L.sites(s, POINTS), pad)
 
 
+def observed(chosen, s, d) -> DataFrame:
+    """Of a support's cells those that have been observed, and on how many days."""
+    return wet(s, d).join(chosen(s, d), CELL).groupBy("site", *CELL).agg(F.count("time").alias("n_days"))
+
+
 _SITES = "(VALUES ('A', CAST(30.5 AS DOUBLE), CAST(-1.5 AS DOUBLE)), ('B', 31.25, -0.75), ('C', 50.0, 10.0)) AS s(loc, x, y)"
 
 
@@ -102,8 +111,12 @@ def _near(pad: int) -> str:
     return f"SELECT loc AS site, lat_i, lon_i FROM (SELECT DISTINCT lat_i, lon_i, lat, lon FROM wet) c JOIN {_SITES} ON abs(lon - x) <= {reach} AND abs(lat - y) <= {reach}"
 
 
+def _observed(chosen: str) -> str:
+    return f"SELECT site, lat_i, lon_i, count(*) AS n_days FROM wet JOIN {chosen} USING (lat_i, lon_i) GROUP BY 1, 2, 3"
+
+
 for _pad in (0, 1):
-    query(f"points_pad{_pad}", _near(_pad))(_points(_pad))
+    query(f"points_pad{_pad}", _observed(f"({_near(_pad)})"))(lambda s, d, pad=_pad: observed(_points(pad), s, d))
 
 _RING = ", ".join(f"({i}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for i, (x, y) in enumerate(RING))
 _INSIDE = f"""ring AS (SELECT * FROM (VALUES {_RING}) AS r(i, x, y)),
@@ -118,15 +131,22 @@ def zone_cells(s, d):
     return P.polygon_cells(AXES, L.zones(s, {"zone": [RING]}))
 
 
-query("polygon_cells", f"{_INSIDE} SELECT 'zone' AS site, lat_i, lon_i FROM inside")(zone_cells)
+def zone_runs(s, d):
+    return P.polygon_runs(AXES, L.zones(s, {"zone": [RING]}))
+
+
+query("polygon_cells", f"{_INSIDE} {_observed("(SELECT 'zone' AS site, lat_i, lon_i FROM inside)")}")(lambda s, d: observed(zone_cells, s, d))
+query("polygon_runs", f"{_INSIDE} SELECT 'zone' AS site, strftime(time, '%Y-%m-%d') AS time, count(*) AS n_cells, sum(precip) AS precip FROM wet JOIN inside USING (lat_i, lon_i) GROUP BY time")(
+    lambda s, d: P.on_runs(wet(s, d), zone_runs(s, d)).groupBy("site", "time").agg(F.count("*").alias("n_cells"), F.sum("precip").alias("precip")).select("site", day(), "n_cells", "precip")
+)
 
 
 @query(
     "polygon_mask",
-    f"{_INSIDE} SELECT strftime(time, '%Y-%m-%d') AS time, w.lat_i, w.lon_i, CASE WHEN i.lat_i IS NOT NULL THEN precip END AS precip FROM wet w LEFT JOIN inside i ON i.lat_i = w.lat_i AND i.lon_i = w.lon_i WHERE time < DATE '1996-01-01'",
+    f"{_INSIDE} SELECT strftime(time, '%Y-%m-%d') AS time, w.lat_i, w.lon_i, CASE WHEN i.lat_i IS NOT NULL THEN precip END AS precip FROM wet w LEFT JOIN inside i ON i.lat_i = w.lat_i AND i.lon_i = w.lon_i",
 )
 def polygon_mask(s, d):
-    return P.mask(wet(s, d).where("time < date'1996-01-01'"), zone_cells(s, d), "precip").select(day(), *CELL, "precip")
+    return P.mask(wet(s, d), zone_cells(s, d), "precip").select(day(), *CELL, "precip")
 
 
 def _md(first: int, last: int) -> tuple[str, str, str]:
@@ -146,10 +166,47 @@ for _name, _span in (("season_days", SPRING), ("season_days_wrap", WINTER)):
     )
 
 
-@query("append_unseen", "SELECT strftime(time, '%Y-%m-%d') AS time, lat_i, lon_i, precip FROM wet WHERE time >= DATE '2000-07-01' AND time NOT IN (SELECT time FROM wet WHERE time < DATE '2001-01-01')")
+def stored(s, d, variable: str = "precip") -> DataFrame:
+    """A variable in the form that stores keep."""
+    return wet(s, d).select(F.lit("obs").alias("dataset"), F.lit("daily").alias("res"), F.lit(variable).alias("variable"), "time", *CELL, "lat", "lon", F.col(variable).alias("value"))
+
+
+@query("append_unseen", "SELECT strftime(time, '%Y-%m-%d') AS time, lat_i, lon_i, precip AS value FROM wet WHERE time >= DATE '2001-01-01' OR lat_i >= 3")
 def append_unseen(s, d):
-    obs = wet(s, d)
-    return G.unseen(obs.where("time >= date'2000-07-01'"), obs.where("time < date'2001-01-01'"), ["time"]).select(day(), *CELL, "precip")
+    # The store has all rows up to 2000 of three of the grid's rows, by its bitmaps.
+    obs = stored(s, d)
+    return M.missing(obs, M.days(obs.where("time < date'2001-01-01' and lat_i < 3"))).select(day(), *CELL, "value")
+
+
+@query("store_round_trip", "SELECT strftime(time, '%Y-%m-%d') AS time, lat_i, lon_i, precip AS value FROM wet")
+def store_round_trip(s, d):
+    """Two appends that overlap, kept in the store's layout, and all rows back."""
+    path = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    G.append_unseen(stored(s, d).where("time < date'1999-01-01'"), path)
+    G.append_unseen(stored(s, d).where("time >= date'1998-01-01' or lon_i > 2"), path)
+    return G.read_obs(s, path, "obs", "daily", "precip").select(day(), *CELL, "value")
+
+
+@query(
+    "store_coverage",
+    """SELECT 'obs' AS dataset, 'daily' AS res, variable, round(min(lon), 6) AS west, round(max(lon), 6) AS east, round(min(lat), 6) AS south, round(max(lat), 6) AS north, 0.5::DOUBLE AS step_lon, 0.5::DOUBLE AS step_lat,
+    count(DISTINCT time) AS n_times, count(*) AS n_rows, strftime(min(time), '%Y-%m-%d') AS start, strftime(max(time), '%Y-%m-%d') AS "end" FROM (SELECT *, unnest(['precip', 'tmax']) AS variable FROM wet) WHERE variable = 'precip' OR month(time) > 6 GROUP BY variable""",
+)
+def store_coverage(s, d):
+    return M.coverage(M.days(stored(s, d).unionByName(stored(s, d, "tmax").where("month(time) > 6"))))
+
+
+_CUBE = "time BETWEEN DATE '1998-06-01' AND DATE '1999-02-10' AND lat BETWEEN -1.5 AND 0 AND lon >= 31"
+
+
+@query("zarr_box", f"SELECT strftime(time, '%Y-%m-%d') AS time, d.lat_i, d.lon_i, precip AS value FROM (SELECT *, CAST(-2.0 + 0.5 * lat_i AS DOUBLE) AS lat, CAST(30.0 + 0.5 * lon_i AS DOUBLE) AS lon FROM dense WHERE time IN (SELECT time FROM wet)) d WHERE {_CUBE}")
+def zarr_box(s, d):
+    """The whole grid appended to a Zarr store in two blocks of time, then a box of some months of it."""
+    path = f"{shared_dir(s)}/cube-{uuid.uuid4().hex}"
+    obs = stored(s, d)
+    for part in (obs.where("time < date'1999-01-01'"), obs):
+        cube.append_cube(part, path, "precip", AXES, (128, 2, 3), "<f8")
+    return cube.read_cube(s, path, "precip").where(_CUBE.replace("DATE ", "date")).select(day(), *CELL, "value")
 
 
 @query(
@@ -370,7 +427,9 @@ def _daily_clim(window: int) -> str:
 
 
 for _w in (0, 2):
-    query(f"clim_daily_w{_w}", _daily_clim(_w))(lambda s, d, w=_w: rounded(K.climatology(K.slots(wet(s, d), "daily", FIRST, LAST, w, "time"), [*CELL, "slot"], "precip", "mean", YEARS)))
+    query(f"clim_daily_w{_w}", _daily_clim(_w))(
+        lambda s, d, w=_w: rounded(K.windowed_statistic(K.windowed(wet(s, d), CELL, "precip", FIRST, LAST, w), CELL, "mean", YEARS) if w else K.climatology(K.slots(wet(s, d), "daily", FIRST, LAST, w, "time"), [*CELL, "slot"], "precip", "mean", YEARS))
+    )
 
 _PROB = """sorted AS (SELECT {keys}, list_sort(list(value) FILTER (value IS NOT NULL)) AS v, count(value) AS n FROM {table} GROUP BY {keys}),
 gaps AS (SELECT *, list_aggregate([v[i + 1] - v[i] FOR i IN range(1, n)], 'median') AS step, list_aggregate([x FOR x IN v IF x <= {t}], 'max') AS lo, list_aggregate([x FOR x IN v IF x >= {t}], 'min') AS hi, v[1] AS a, v[n] AS b FROM sorted),
@@ -571,13 +630,13 @@ query("et0_fao", _radiated(_DOY, f"{_KEYS}, round(0.0023 * 0.408 * ra * ((tmax +
     """fine AS (SELECT CAST(i AS INT) AS lat_i, CAST(j AS INT) AS lon_i, CAST(i AS DOUBLE) / 2 + 0.25 AS r, CAST(j AS DOUBLE) / 2 + 0.25 AS c FROM (SELECT unnest(range(0, 8)) AS i) CROSS JOIN (SELECT unnest(range(0, 8)) AS j)),
     corners AS (SELECT f.*, CAST(floor(r) AS INT) + a AS si, CAST(floor(c) AS INT) + b AS sj, (CASE WHEN a = 0 THEN 1 - (r - floor(r)) ELSE r - floor(r) END) * (CASE WHEN b = 0 THEN 1 - (c - floor(c)) ELSE c - floor(c) END) AS w
       FROM fine f CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS x(a, b)),
-    found AS (SELECT time, k.lat_i, k.lon_i, CASE WHEN abs(sum(w) - 1) < 1e-9 THEN sum(w * precip) END AS precip FROM wet JOIN corners k ON k.si = wet.lat_i AND k.sj = wet.lon_i WHERE k.w > 0 AND time < DATE '1996-01-01' GROUP BY 1, 2, 3)
+    found AS (SELECT time, k.lat_i, k.lon_i, CASE WHEN abs(sum(w) - 1) < 1e-9 THEN sum(w * precip) END AS precip FROM wet JOIN corners k ON k.si = wet.lat_i AND k.sj = wet.lon_i WHERE k.w > 0 GROUP BY 1, 2, 3)
     SELECT strftime(time, '%Y-%m-%d') AS time, lat_i, lon_i, round(precip, 6) AS precip FROM found""",
 )
 def regrid_bilinear(s, d):
     i, j = F.floor(F.col("id") / 8).cast("int"), (F.col("id") % 8).cast("int")
     target = s.range(64).select(i.alias("lat_i"), j.alias("lon_i"), (G.LAT0 + G.STEP * (i / 2 + 0.25)).alias("lat"), (G.LON0 + G.STEP * (j / 2 + 0.25)).alias("lon"))
-    found = D.regrid(wet(s, d).where("time < date'1996-01-01'"), target, "precip", G.LAT0, G.LON0, G.STEP, G.STEP, ["time"])
+    found = D.regrid(wet(s, d), target, "precip", G.LAT0, G.LON0, G.STEP, G.STEP, ["time"])
     return found.select(day(), *CELL, r6("precip", "precip"))
 
 

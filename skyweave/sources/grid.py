@@ -107,8 +107,10 @@ def append_unseen(incoming: DataFrame, path: str) -> None:
 def grid_axis(obs: DataFrame) -> DataFrame:
     """``(axis, i, coord)`` of the grid's two axes, gathered in one aggregate
     that is as long as they are."""
-    ends = [F.transform(F.collect_set(F.struct(F.col(f"{a}_i").alias("i"), F.col(a).alias("coord"))), lambda s, a=a: F.struct(F.lit(a).alias("axis"), s["i"].alias("i"), s["coord"].alias("coord"))) for a in ("lat", "lon")]
-    return obs.agg(F.concat(*ends).alias("all")).select(F.inline("all"))
+    def ends(a: str) -> Column:
+        return F.transform(F.collect_set(F.struct(F.col(f"{a}_i").alias("i"), F.col(a).alias("coord"))), lambda s: F.struct(F.lit(a).alias("axis"), s["i"].alias("i"), s["coord"].alias("coord")))
+
+    return obs.agg(F.concat(ends("lat"), ends("lon")).alias("all")).select(F.inline("all"))
 
 
 def info(obs: DataFrame, by: list[str], res: str = "daily") -> DataFrame:
