@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from skyweave.session import ship
 
-from .common import text_of
+from .common import cut, text_of
 
 Q = 3
 _GAP = re.compile(r"[\W_]+")
@@ -181,9 +181,10 @@ def match(docs: DataFrame, items: DataFrame, rate: float = 0.1, piece: int = 12,
     text, up to case, punctuation and ``rate`` of its length in edits; items
     too short for one edit as whole words.
 
-    Items are sent to the tasks in blocks of about ``block`` characters, one
-    pass over the texts each, so that no broadcast exceeds it by more than one
-    item. Null and empty texts and items match nothing; items with the same
+    Items are sent to the tasks in blocks of about ``block`` characters, so
+    that no broadcast exceeds it by more than one item. Where there are several,
+    each takes a pass over the texts of its own, written before the next
+    begins: of a benchmark of any size, tasks hold one block at a time. Null and empty texts and items match nothing; items with the same
     text each match; repeated rows stay; other columns stay, one named
     ``matches`` is replaced."""
     spark = docs.sparkSession
@@ -191,14 +192,17 @@ def match(docs: DataFrame, items: DataFrame, rate: float = 0.1, piece: int = 12,
     pool = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = pool.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     count = max(1, -(-size // block))
-    found = docs.withColumn("matches", F.lit(None).cast("array<struct<item_id:bigint,distance:bigint,start:bigint,end:bigint>>"))
-    parts = []
+    found = docs.withColumn("matches", F.array().cast("array<struct<item_id:bigint,distance:bigint,start:bigint,end:bigint>>"))
     for k in range(count):
         mine = pool.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else pool
         rows = sorted(((r["item_id"], normal(r["text"])) for r in mine.collect()), key=str)
         shared = spark.sparkContext.broadcast(([r for r in rows if r[1]], rate, piece))
-        parts.append(_search(shared)(text_of(docs)))
-    return found.withColumn("matches", F.concat(*parts) if len(parts) > 1 else parts[0])
+        hits = _search(shared)(text_of(found))
+        if count == 1:
+            return found.withColumn("matches", hits)
+        found = cut(found.withColumn("matches", F.concat("matches", hits)))
+        shared.unpersist()
+    return found
 
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -30,6 +30,8 @@ END, GAP, REST = 0, 1, 255
 SYMBOL = LOWER.copy()
 SYMBOL[[0, 1]] = (65, 66)
 USED = np.setdiff1d(np.concatenate(([END, GAP], SYMBOL)), [9, 10, 11, 12, 13, 32, REST])
+#: Occurrences that a node has at least.
+LEAST = 10
 #: The end's digest among those of words; words have others.
 END_WORD = np.uint64(0)
 
@@ -220,77 +222,106 @@ class Tree:
         return ((keys.astype(np.uint64) * MIX) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def grow(counts: DataFrame, least: int, gain: float, pull: float, bound: int) -> tuple[np.ndarray, dict, dict, np.ndarray, np.ndarray]:
-    """The tree's nodes from ``counts(key, n)`` of contexts with their symbol:
-    ``base, codes, logs, keys, values`` of :class:`Tree`.
+#: Symbols by which longer nodes are dealt to blocks: a node's suffixes down to that length share its block.
+SHARED = DENSE + 1
+
+
+def block_of(code, blocks: int):
+    """The block of the nodes that end in the last ``SHARED`` symbols of
+    ``code``, an array or a column."""
+    return (code % SYMBOLS**SHARED) * 2654435761 % 4294967296 % blocks
+
+
+@dataclass(frozen=True)
+class Nodes:
+    """The tree's nodes, in Spark: counts by length of context, and which are
+    kept. ``blocks``: how many parts they are held in, each with at most about
+    ``bound`` numbers; a part has all nodes that its contexts can meet."""
+
+    levels: list
+    keeps: dict
+    pull: float
+    blocks: int
+    words: tuple
+    total: int
+    distinct: int
+
+    def _kept(self, d: int, block: int | None) -> DataFrame:
+        keep = self.keeps[d].select("c")
+        return self.levels[d].join(keep if block is None or self.blocks == 1 else keep.where(block_of(F.col("c"), self.blocks) == block), "c")
+
+    def tree(self, block: int = 0) -> Tree:
+        """One part, at hand. Smoothing adds ``pull`` pseudo-counts of the
+        suffix's distribution."""
+        pull = self.pull
+        found = self.levels[0].toArrow()
+        base = np.zeros(SYMBOLS)
+        base[USED] = 1
+        base[found["s"].to_numpy()] += found["n"].to_numpy()
+        base = (base / base.sum()).astype(np.float32)
+        nodes, rows, keys, values = {}, {0: base[None, :]}, [], []
+        for d in range(1, DEPTH + 1):
+            found = self._kept(d, block if d > DENSE else None).toArrow()
+            c, s, m = (found[x].to_numpy() for x in ("c", "s", "n"))
+            codes, at = np.unique(c, return_inverse=True)
+            size = np.bincount(at, m, len(codes)) + pull
+            if d <= DENSE:
+                table = np.zeros((len(codes), SYMBOLS), np.float32)
+                table[at, s] = m
+                above = rows[d - 1][np.searchsorted(nodes[d - 1], codes % SYMBOLS ** (d - 1))] if d > 1 else rows[0]
+                nodes[d], rows[d] = codes, ((table + np.float32(pull) * above) / size[:, None]).astype(np.float32)
+                continue
+            parent = c % SYMBOLS ** (d - 1)
+            if d == DENSE + 1:
+                above = rows[DENSE][np.searchsorted(nodes[DENSE], parent), s] if len(c) else np.zeros(0)
+            else:  # what was seen after a context was seen after its suffix
+                above = share[np.searchsorted(own, key_of(d - 1, parent, s.astype(np.int64)))] if len(c) else np.zeros(0)
+            own, share = key_of(d, c, s.astype(np.int64)), (m + pull * above) / size[at]
+            order = np.argsort(own)
+            own, share = own[order], share[order]
+            keys += [own, key_of(d, codes, REST)]
+            values += [share, pull / size]
+        with np.errstate(divide="ignore"):  # symbols that do not occur
+            base_, logs = np.log10(base), {d: np.log10(rows[d]) for d in (1, 2)}
+            keys, values = np.concatenate(keys), np.log10(np.concatenate(values)).astype(np.float32)
+        order = np.argsort(Tree.slots(keys, Tree.bits(len(keys))), kind="stable")
+        return Tree(base_, nodes, logs, keys[order], values[order], self.words, self.total, self.distinct)
+
+
+def grow(counts: DataFrame, least: int, gain: float, bound: int) -> tuple[list, dict, int]:
+    """``levels``, ``keeps`` and ``blocks`` of :class:`Nodes` from
+    ``counts(key, n)`` of contexts with their symbol.
 
     A context is kept that occurs ``least`` times and whose distribution
     diverges from its suffix's: the counts' log-likelihood under its own is
     ``gain`` nats or more above that under the suffix's. So are all suffixes of
-    one that is kept. Smoothing adds ``pull`` pseudo-counts of the suffix's
-    distribution. Counts stay in Spark; only what is kept comes to the driver.
-    Its size is looked at first: ``least`` is doubled until no more than
-    ``bound`` numbers remain, as suffixes occur more often than what they end."""
+    one that is kept. None of this depends on the size of the corpus or on
+    ``bound``: what is kept of some texts is kept of more."""
     n = F.col("n")
     levels = [cut(counts.select((F.floor(F.col("key") / SYMBOLS) % SYMBOLS**d).cast("long").alias("c"), (F.col("key") % SYMBOLS).cast("int").alias("s"), "n").groupBy("c", "s").agg(F.sum(n).alias("n"))) for d in range(DEPTH, -1, -1)][::-1]
     totals = [x.groupBy("c").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")) for x in levels]
-    kept, keeps, sizes = None, {}, {}
+    kept, keeps, size = None, {}, 0
     for d in range(DEPTH, 0, -1):
         up = levels[d - 1].join(totals[d - 1], "c").select(F.col("c").alias("p"), "s", (n / F.col("all")).alias("q"))
         mine = levels[d].join(totals[d].where(F.col("all") >= least), "c").withColumn("p", F.col("c") % SYMBOLS ** (d - 1))
         won = mine.join(up, ["p", "s"]).groupBy("c").agg(F.sum(n * F.log(n / F.col("all") / F.col("q"))).alias("gain")).where(F.col("gain") >= gain).select("c")
         kept = won if kept is None else won.union(kept.select((F.col("c") % SYMBOLS**d).alias("c"))).distinct()
-        keeps[d] = kept = cut(kept.join(totals[d], "c"))
-        for r in kept.groupBy(F.floor(F.log2(F.col("all") / F.lit(float(least)))).alias("k")).agg(F.sum("kinds").alias("n")).collect():  # at most 64 rows
-            sizes[int(r["k"])] = sizes.get(int(r["k"]), 0) + r["n"]
+        keeps[d] = kept = cut(kept.join(totals[d], "c").select("c", "kinds"))
+        if d > DENSE:
+            size += kept.agg(F.coalesce(F.sum(F.col("kinds") + 1), F.lit(0))).first()[0]
         kept = kept.select("c")
-    raised = 0
-    while sum(v for k, v in sizes.items() if k >= raised) > bound:
-        raised += 1
-    floor_ = least << raised
-    found = levels[0].toArrow()
-    base = np.zeros(SYMBOLS)
-    base[USED] = 1
-    base[found["s"].to_numpy()] += found["n"].to_numpy()
-    base = (base / base.sum()).astype(np.float32)
-    nodes, rows, keys, values = {}, {0: base[None, :]}, [], []
-    for d in range(1, DEPTH + 1):
-        found = levels[d].join(keeps[d].where(F.col("all") >= floor_).select("c"), "c").toArrow()
-        c, s, m = (found[x].to_numpy() for x in ("c", "s", "n"))
-        codes, at = np.unique(c, return_inverse=True)
-        size = np.bincount(at, m, len(codes)) + pull
-        if d <= DENSE:
-            table = np.zeros((len(codes), SYMBOLS), np.float32)
-            table[at, s] = m
-            above = rows[d - 1][np.searchsorted(nodes[d - 1], codes % SYMBOLS ** (d - 1))] if d > 1 else rows[0]
-            nodes[d], rows[d] = codes, ((table + np.float32(pull) * above) / size[:, None]).astype(np.float32)
-            continue
-        parent = c % SYMBOLS ** (d - 1)
-        if d == DENSE + 1:
-            above = rows[DENSE][np.searchsorted(nodes[DENSE], parent), s] if len(c) else np.zeros(0)
-        else:  # what was seen after a context was seen after its suffix
-            above = share[np.searchsorted(own, key_of(d - 1, parent, s.astype(np.int64)))] if len(c) else np.zeros(0)
-        own, share = key_of(d, c, s.astype(np.int64)), (m + pull * above) / size[at]
-        order = np.argsort(own)
-        own, share = own[order], share[order]
-        keys += [own, key_of(d, codes, REST)]
-        values += [share, pull / size]
-    with np.errstate(divide="ignore"):  # symbols that do not occur
-        base_, logs = np.log10(base), {d: np.log10(rows[d]) for d in (1, 2)}
-        keys, values = np.concatenate(keys), np.log10(np.concatenate(values)).astype(np.float32)
-    order = np.argsort(Tree.slots(keys, Tree.bits(len(keys))), kind="stable")
-    return base_, nodes, logs, keys[order], values[order]
-
-
-def learn(docs: DataFrame, gain: float = 10.0, pull: float = 6.0, frequent: int = 1 << 21, share: float = 1600.0, bound: int = 1 << 24) -> tuple[Tree, DataFrame]:
+    return levels, keeps, max(1, -(-size // bound))
+
+
+def learn(docs: DataFrame, gain: float = 10.0, pull: float = 6.0, frequent: int = 1 << 21, least: int = LEAST, bound: int = 1 << 24) -> tuple[Nodes, DataFrame]:
     """The tree of all ``docs(text)``, and ``(h, c)``, the count of every word
     by digest. Words that make up at least one in ``frequent`` tokens, at most
     that many, are at hand in the tasks that score; the others are joined.
 
-    The more text, the rarer the contexts that make nodes: with N symbols a
-    node makes up at least one in ``share`` times the cube root of N, and
-    occurs ten times at least. ``bound`` is what a task can hold, in numbers
-    of twenty bytes with their slots; see :func:`grow`. A null text is empty."""
+    A node occurs ``least`` times, whatever the size of the corpus, so the
+    tree grows with it. ``bound`` is what a task holds of it at a time, in
+    numbers of twenty bytes with their slots; a tree with more is scored part
+    by part, and gives the same. A null text is empty."""
     text = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     tokens = cut(_summed(text, count_words, pa.int64())).select(F.col("key").alias("h"), F.col("n").alias("c"))
     size = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -299,9 +330,8 @@ def learn(docs: DataFrame, gain: float = 10.0, pull: float = 6.0, frequent: int
     h, c = common["h"].to_numpy().view(np.uint64), common["c"].to_numpy()
     order = np.argsort(h)
     codes = cut(_summed(text, count_contexts, pa.int64()).select("key", "n"))
-    all_ = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(10, int(all_ ** (2 / 3) / share))
-    return Tree(*grow(codes, least, gain, pull, bound), (h[order], c[order]), total, distinct), tokens
+    levels, keeps, blocks_ = grow(codes, least, gain, bound)
+    return Nodes(levels, keeps, pull, blocks_, (h[order], c[order]), total, distinct), tokens
 
 
 _ready: dict = {}
@@ -309,9 +339,11 @@ _ready: dict = {}
 ROWS = "doc_id long, th long, kind int, h long, tf long, n_tokens long, n_known long, base double, score double"
 
 
-def _scorer(shared, key: str):
+def _scorer(shared, key: str, block: int, count: int):
     """Rows of kind 0, one a text, with what the tree and the frequent words
-    give; of kind 1, the other words of each text."""
+    give; of kind 1, the other words of each text. Where the tree has several
+    parts, the first gives these with its share of the score, and the others
+    their shares in rows of kind 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = shared.value
@@ -327,7 +359,16 @@ def _scorer(shared, key: str):
             for i, j in blocks(offsets):
                 part, inner = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 code, symbol, first = contexts(*symbols(part, inner))
-                score = np.add.reduceat(points(code, symbol), first)
+                if count == 1:
+                    each = points(code, symbol)
+                else:
+                    each, mine = np.zeros(len(code)), block_of(code, count) == block
+                    each[mine] = points(code[mine], symbol[mine])
+                score = np.add.reduceat(each, first)
+                if block:
+                    ids, th, none = batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.zeros(j - i, np.int64))
+                    yield pa.RecordBatch.from_arrays([ids, th, pa.array(np.full(j - i, 2, np.int32)), th, none, none, none, pa.array(np.zeros(j - i)), pa.array(score)], names=names)
+                    continue
                 h, at = word_hashes(part, inner)
                 n = np.diff(at)
                 # The end of each text is a token among the others.
@@ -351,7 +392,7 @@ def _scorer(shared, key: str):
     return run
 
 
-def score(docs: DataFrame, tree: Tree, tokens: DataFrame) -> DataFrame:
+def score(docs: DataFrame, tree: Nodes, tokens: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_tokens, n_known,
     train_tokens, base_score, score``.
 
@@ -360,16 +401,27 @@ def score(docs: DataFrame, tree: Tree, tokens: DataFrame) -> DataFrame:
     add-one smoothed counts. Counts of frequent words are at hand in the
     tasks; the rest of a text's words are joined to ``tokens`` by digest. Null
     texts are empty and have their end alone; rows may repeat, ids be null;
-    other columns do not matter."""
+    other columns do not matter. White space is scored as the tree has it: run
+    together, and none at either end.
+
+    A tree of several parts takes one pass over the texts each, one after the
+    other: a symbol is scored in the pass of the part that its context ends
+    in."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(tree)  # bounded by the numbers of frequent words and nodes
-    rows = keyed(docs).mapInArrow(_scorer(shared, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}"), ROWS)
+    rows = None
+    for k in range(tree.blocks):
+        shared = spark.sparkContext.broadcast(tree.tree(k))  # bounded by the numbers of frequent words and nodes of a part
+        part = keyed(docs).mapInArrow(_scorer(shared, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", k, tree.blocks), ROWS)
+        if tree.blocks > 1:
+            part = cut(part)
+            shared.unpersist()
+        rows = part if rows is None else rows.unionByName(part)
     found = rows.join(tokens.select(F.lit(1).alias("kind"), "h", "c"), ["kind", "h"], "left")
     word = F.col("kind") == 1
     c = F.coalesce("c", F.lit(0))
     per = found.groupBy("doc_id", "th").agg(
-        F.sum(F.when(word, 0).otherwise(1)).cast("int").alias("m"),
+        F.count_if(F.col("kind") == 0).cast("int").alias("m"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(word & (c > 0), F.col("tf")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.when(word, F.col("tf") * F.log10(c + 1.0)).otherwise(0.0)).alias("base"),

@@ -43,7 +43,7 @@ def test_base_score_and_probabilities(spark):
     for (c, x), m in count.items():
         all_[c] += m
         after.setdefault(c, {})[x] = m
-    least = max(10, int(all_[()] ** (2 / 3) / 1600))
+    least = 10
     kept = {()}
     for c in after:
         up = c[1:]
@@ -66,18 +66,28 @@ def test_base_score_and_probabilities(spark):
         assert all(abs(g - total) < 1e-3 for g in got), (i, got, total)
 
 
-def test_bound_and_other_scripts(spark):
-    """A bound on what is held leaves common contexts alone; bytes of every
-    script are symbols of their own; a very long text is scored whole."""
-    docs = spark.createDataFrame([(i, f"слово номер {i % 7} и ещё одно слово " * 9) for i in range(60)] + [(100, "слово " * 100_000), (101, "zzz " * 50)], "doc_id long, text string")
+def test_parts_and_other_scripts(spark):
+    """A tree in many parts scores as one at hand; bytes of every script are
+    symbols of their own; a very long text is scored whole."""
+    docs = spark.createDataFrame([(i, f"слово номер {i % 7} и ещё одно слово " * 9) for i in range(60)] + [(100, "слово " * 100_000), (101, "zzz " * 50), (102, None), (102, None)], "doc_id long, text string")
     train = docs.where("doc_id < 50")
     whole, words = suffix.learn(train)
-    small, _ = suffix.learn(train, bound=80)
-    assert len(small.keys) < len(whole.keys) and len(small.keys) - (small.keys & 255 == suffix.REST).sum() <= 80
-    score = {r["doc_id"]: r["score"] / r["n_tokens"] for r in suffix.score(docs, whole, words).collect()}
-    assert score[55] > score[101] and score[100] > score[101]
-    less = {r["doc_id"]: r["score"] / r["n_tokens"] for r in suffix.score(docs, small, words).collect()}
-    assert score[55] > less[55] > less[101]
+    small, _ = suffix.learn(train, bound=8)
+    assert whole.blocks == 1 and small.blocks >= 3
+    kept = [set(small.tree(k).keys.tolist()) for k in range(small.blocks)]
+    assert set.union(*kept) == set(whole.tree().keys.tolist()) and sum(map(len, kept)) == len(whole.tree().keys) and sum(map(bool, kept)) >= 2
+    score = sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 4)) for r in suffix.score(docs, whole, words).collect())
+    assert score == sorted((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 4)) for r in suffix.score(docs, small, words).collect())
+    per = {i: x / n for i, n, _, _, x in score}
+    assert per[55] > per[101] and per[100] > per[101] and len(score) == 64
+
+
+def test_what_is_kept_is_kept_of_more(spark):
+    rows = [(i, t) for i, t in table() if t]
+    few, _ = suffix.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    more, _ = suffix.learn(spark.createDataFrame(rows * 3, "doc_id long, text string"))
+    nodes = lambda m: {(d, r["c"]) for d, x in m.keeps.items() for r in x.collect()}
+    assert nodes(few) < nodes(more)
 
 
 def test_empty(spark):
