@@ -100,9 +100,11 @@ def repeats(docs: DataFrame, **how) -> DataFrame:
 
 def deduplicate(docs: DataFrame, run: int = 160, anchor: int = 24, gap: int = 24, **how) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_bytes, n_repeated,
-    n_removed, spans``.
+    n_removed, spans, n_equal, n_again``.
 
-    What counts is a run of repeated chunks, gaps of under ``gap`` bytes
+    ``n_equal`` counts the bytes of all chunks that occur more than once, runs
+    or not, and ``n_again`` those of all their occurrences but the first of
+    the whole table. The other columns are about passages. A passage is a run of repeated chunks, gaps of under ``gap`` bytes
     included, of at least ``run`` bytes, one chunk of which has ``anchor`` bytes
     or more: neither a line or two nor short chunks that are equal by chance
     make a passage. On 10,000 documents that finds 97 in 100 with a passage of
@@ -115,24 +117,28 @@ def deduplicate(docs: DataFrame, run: int = 160, anchor: int = 24, gap: int = 24
     Other columns do not matter."""
     row = ["doc_id", "th"]
     order = Window.partitionBy(*row).orderBy("start")
+    again = F.when(F.col("first"), 0).otherwise(F.col("size"))
     end = F.col("start") + F.col("size")
     fresh = F.coalesce(F.col("start") - F.lag(end).over(order) >= gap, F.lit(True))
     placed = repeats(docs, **how).distinct().withColumn("_new", fresh).withColumn("_run", F.count_if("_new").over(order))
     within = Window.partitionBy(*row, "_run")
     by_row = (
         placed.withColumns({"_length": F.max(end).over(within) - F.min("start").over(within), "_largest": F.max("size").over(within)})
-        .where((F.col("_length") >= run) & (F.col("_largest") >= anchor))
+        .withColumn("_passage", (F.col("_length") >= run) & (F.col("_largest") >= anchor))
         .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
         .agg(
-            F.sum("size").alias("n_repeated"),
-            F.sum(F.when(F.col("first"), 0).otherwise(F.col("size"))).alias("n_removed"),
-            F.array_sort(F.collect_list(F.when(~F.col("first"), F.struct("start", end.alias("end"))))).alias("gone"),
+            F.sum(F.when(F.col("_passage"), F.col("size"))).alias("n_repeated"),
+            F.sum(F.when(F.col("_passage"), again)).alias("n_removed"),
+            F.array_sort(F.collect_list(F.when(F.col("_passage") & ~F.col("first"), F.struct("start", end.alias("end"))))).alias("gone"),
+            F.sum("size").alias("n_equal"),
+            F.sum(again).alias("n_again"),
         )
     )
     rows = keyed(docs).select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"))
     spans = F.array_join(F.transform("gone", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return rows.join(by_row, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce(spans, F.lit("")).alias("spans")
+        "doc_id", "n_bytes", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce(spans, F.lit("")).alias("spans"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_equal", "n_again")],
     )
 
 

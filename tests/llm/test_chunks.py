@@ -94,3 +94,24 @@ def test_against_plain_definition(spark):
             where.setdefault(c, []).append(gone)
     assert where and all(v.count(False) <= 1 for v in where.values())
     assert sum(v.count(False) == 1 for v in where.values()) > 0.8 * len(where)
+
+
+def test_all_repeated_chunks(spark):
+    """Equal chunks are counted wherever they are, each but the first of the
+    table once more."""
+    rng = random.Random(17)
+    lines = [words(rng, n) for n in (3, 5, 12)]
+    rows = [(i, "\n".join(rng.choice([words(rng, 20), rng.choice(lines)]) for _ in range(rng.randint(1, 6)))) for i in range(60)] + [(70, None), (71, "b" * 3000)]
+    got = {r["doc_id"]: (r["n_equal"], r["n_again"]) for r in chunks.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    _, found, _, _ = plain(rows)
+    often, first = {}, {}
+    for k, a, e, c in found:
+        often[c] = often.get(c, 0) + 1
+    th = dict(zip((r[0] for r in rows), range(len(rows))))
+    equal, again = dict.fromkeys(th, 0), dict.fromkeys(th, 0)
+    for k, a, e, c in sorted(found):
+        if often[c] > 1:
+            equal[rows[k][0]] += e - a
+            again[rows[k][0]] += (e - a) * (c in first)
+            first.setdefault(c, k)
+    assert got == {i: (equal[i], again[i]) for i in th} and sum(again.values()) > 500
