@@ -19,8 +19,10 @@ from skyweave.operators import climatology as K
 from skyweave.operators import derive as D
 from skyweave.operators import resample as R
 from skyweave.operators import season as S
+from skyweave.operators import summed as T
 from skyweave.operators import support as P
-from skyweave.plans.engine import Engine
+from skyweave.plans import incremental, materialise, responses, results
+from skyweave.plans.engine import Engine, materialise_climatologies
 from skyweave.plans.specs import BBox, Climatology, Original, Points, Polygons, SeasonIndex, Series
 from skyweave.session import shared_dir
 from skyweave.sources import cube
@@ -28,6 +30,7 @@ from skyweave.sources import grid as G
 from skyweave.sources import manifest as M
 from skyweave.sources import places as L
 from skyweave.sources import sinks
+from skyweave.streaming import derived
 
 CELL = ["lat_i", "lon_i"]
 FIRST, LAST, YEARS = 1995, 2000, 5
@@ -370,6 +373,17 @@ for _kind in _FETCH:
         lambda s, d, kind=_kind: shown(site_months(s, d, kind), "precip", "monthly", "site")
     )
 
+SPAN = "site string, west double, south double, east double, north double"
+
+
+@query("rect_mean_summed", f"{_site_sql('rect')} SELECT site, {_label('monthly')} AS label, n_valid, round(value, 6) AS value FROM made")
+def rect_mean_summed(s, d):
+    """The rectangle's mean by four corners of a summed-area table."""
+    box = T.boxes(AXES, s.createDataFrame([("rectangle", *BOX)], SPAN))
+    series = T.box_mean(T.summed_area(wet(s, d), AXES, ["precip"]), box, ["precip"])
+    return shown(R.resample(series, ["site"], "precip", "monthly", "mean", min_frac=FRACTION), "precip", "monthly", "site")
+
+
 # Climatologies.
 
 _SLOT = {"dekadal": "CAST((month(period) - 1) * 3 + least(3, (day(period) - 1) // 10 + 1) AS INT)", "monthly": "CAST(month(period) AS INT)", "seasonal": "CAST(month(period) AS INT)", "annual": "1"}
@@ -401,6 +415,20 @@ for _stat, _sql in _STAT.items():
         lambda s, d, stat=_stat: rounded(K.climatology(based(s, d), [*CELL, "slot"], "precip", stat, YEARS, threshold=600.0))
     )
 
+query("clim_month_exceeded", f"{_based('monthly')} {_clim('based', '100.0 * count(*) FILTER (value > 700) / nullif(count(value), 0)')}")(
+    lambda s, d: rounded(K.climatology(based(s, d), [*CELL, "slot"], "precip", "frequency", YEARS, op=">", threshold=700.0))
+)
+
+
+@query("clim_month_taken_in", f"{_based('monthly')} {_clim('based', _STAT['median'])}")
+def clim_month_taken_in(s, d):
+    """Medians of a table that took in the years in two parts, one of them in both."""
+    path, keys = f"{shared_dir(s)}/years-{uuid.uuid4().hex}", [*CELL, "slot"]
+    yearly = based(s, d).select(*keys, "year", F.col("precip").alias("value"))
+    incremental.take_in(yearly.where("year <= 1998"), keys, path)
+    return rounded(incremental.statistic(incremental.take_in(yearly.where("year >= 1998"), keys, path), keys, "median", YEARS))
+
+
 query(
     "clim_month_mean_stdev",
     f"{_based('monthly')} SELECT lat_i, lon_i, slot, n, stat, round(CASE WHEN n >= 5 THEN value END, 6) AS value FROM (SELECT lat_i, lon_i, slot, count(value) AS n, avg(value) AS m, stddev_pop(value) AS sd FROM based GROUP BY 1, 2, 3) t, LATERAL (SELECT 'mean' AS stat, m AS value UNION ALL SELECT 'stdev', sd) u",
@@ -625,6 +653,37 @@ query("et0_fao", _radiated(_DOY, f"{_KEYS}, round(0.0023 * 0.408 * ra * ((tmax +
 )
 
 
+@query(
+    "computed_et0",
+    _radiated(_DOY, f"{_KEYS}, round(0.0019 * 0.408 * ra * ((tmax + tmin) / 2 + 21.0584) * pow(greatest(greatest(tmax - tmin, 0) - 0.0874 * precip, 0), 0.6278), 6) AS et0 FROM lit WHERE time < DATE '2000-01-01' OR lat_i <> 2"),
+)
+def computed_et0(s, d):
+    """The variable kept in a store, computed in two goes from what is kept there."""
+    path = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    for v in ("tmin", "tmax", "precip"):
+        rows = stored(s, d, v)
+        G.append_unseen(rows.where("time < date'2000-01-01' or lat_i <> 2") if v == "tmax" else rows, path)
+    for start in ("1999-07-01", None):
+        materialise.materialise(s, path, "obs", "daily", ["et0"], start)
+    return G.read_obs(s, path, "obs", "daily", "et0").select(day(), *CELL, r6("value", "et0"))
+
+
+@query(
+    "stream_et0",
+    _radiated(_DOY, f"{_KEYS}, round(0.0019 * 0.408 * ra * ((tmax + tmin) / 2 + 21.0584) * pow(greatest(greatest(tmax - tmin, 0) - 0.0874 * precip, 0), 0.6278), 6) AS et0 FROM lit"),
+)
+def stream_et0(s, d):
+    """Three streams of the whole grid, joined as they come."""
+    path = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    three = []
+    for v in ("tmin", "tmax", "precip"):
+        rows = stored(s, d, v).select("time", *CELL, "lat", "lon", "value")
+        rows.write.parquet(f"{path}/{v}")
+        three.append(s.readStream.schema(rows.schema).parquet(f"{path}/{v}"))
+    derived.et0(*three, late="90 days").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/out").select(day(), *CELL, r6("value", "et0"))
+
+
 @query(
     "regrid_bilinear",
     """fine AS (SELECT CAST(i AS INT) AS lat_i, CAST(j AS INT) AS lon_i, CAST(i AS DOUBLE) / 2 + 0.25 AS r, CAST(j AS DOUBLE) / 2 + 0.25 AS c FROM (SELECT unnest(range(0, 8)) AS i) CROSS JOIN (SELECT unnest(range(0, 8)) AS j)),
@@ -719,9 +778,9 @@ def _on(kind: str | None, keys: str) -> str:
     return f"{_CHOSEN[kind]}, here AS (SELECT lat_i, lon_i, time, precip FROM wet JOIN (SELECT DISTINCT lat_i, lon_i FROM chosen) c USING (lat_i, lon_i))"
 
 
-def _raw_sql(kind: str | None, keys: str) -> str:
+def _raw_sql(kind: str | None, keys: str, function: str = "sum") -> str:
     rows = f"SELECT {keys}, time, {_MONTH} AS period, precip AS v FROM here WHERE time BETWEEN DATE '1995-01-01' AND DATE '2000-12-31'"
-    return f"{_on(kind, keys)}, {_resample_sql(rows, 'monthly', 'sum', _EXPECTED['monthly'], keys=keys)}"
+    return f"{_on(kind, keys)}, {_resample_sql(rows, 'monthly', function, _EXPECTED['monthly'], keys=keys)}"
 
 
 def _index_sql(kind: str | None, keys: str) -> str:
@@ -733,6 +792,60 @@ counted AS (SELECT {keys}, {year} AS season_year, count(*) AS days, count(v) AS
 indices AS (SELECT {keys}, season_year, n_valid, CASE WHEN days / CAST({whole} AS DOUBLE) >= 0.5 AND n_valid / CAST({whole} AS DOUBLE) >= 0.5 THEN CAST(x AS DOUBLE) END AS value FROM counted)"""
 
 
+@query("climatology_kept", f"{_raw_sql('rect', 'lat_i, lon_i')}, based AS (SELECT *, CAST(month(period) AS INT) AS slot FROM made) SELECT lat_i, lon_i, slot, n, stat, round(value, 6) AS value FROM ({_TWO.format(k='lat_i, lon_i, slot', t='based')})")
+def climatology_kept(s, d):
+    """A box's climatology from a store, asked for twice: the second time it is read."""
+    path = f"{shared_dir(s)}/kept-{uuid.uuid4().hex}"
+    G.append_unseen(stored(s, d), f"{path}/store")
+    known = results.of_store(s, f"{path}/store", "obs", "daily", ("precip",), G.LAT0, G.LON0, G.STEP, G.STEP, rows=5, cols=5)
+    asked = Series("precip", "monthly", f"{FIRST}-01-01", f"{LAST}-12-31", BBox(*BOX), min_frac=FRACTION), Climatology("mean-stdev", FIRST, LAST, YEARS)
+    kept = results.Results(known, f"{path}/store", f"{path}/results")
+    kept.request("climatology", *asked)
+    return rounded(kept.find("climatology", *asked))
+
+
+@query("clim_lookup", f"{_raw_sql(None, 'lat_i, lon_i')}, based AS (SELECT *, CAST(month(period) AS INT) AS slot FROM made), own AS ({_TWO.format(k='lat_i, lon_i, slot', t='based')}), {_CHOSEN['rect']} SELECT site, slot, round(avg(value), 6) AS value FROM own JOIN chosen USING (lat_i, lon_i) WHERE stat = 'stdev' GROUP BY 1, 2")
+def clim_lookup(s, d):
+    """A box's mean of a statistic that is kept by cell."""
+    path = f"{shared_dir(s)}/clim-{uuid.uuid4().hex}"
+    e = engine(s, d)
+    materialise_climatologies(e, [Series("precip", "monthly", f"{FIRST}-01-01", f"{LAST}-12-31", min_frac=FRACTION)], path, FIRST, LAST, YEARS)
+    return rounded(e.lookup(path, "precip", "monthly", "stdev", BBox(*BOX, True)))
+
+
+@query(
+    "response_json",
+    f"""{_raw_sql('rect', 'site', 'max')}, told AS (SELECT site, strftime(period, '%Y-%m') AS label, coalesce(round(value, 2), -9999) AS v FROM made)
+SELECT site AS loc, '{{"Name":"rectangle","Longitude":31.0,"Latitude":-1.0,"Dates":["' || string_agg(label, '","' ORDER BY label) || '"],"Values":[' || string_agg({_NUM.format('v')}, ',' ORDER BY label) || ']}}' AS json FROM told GROUP BY site""",
+)
+def response_json(s, d):
+    return responses.respond(engine(s, d), "json", "raw", Series("precip", "monthly", f"{FIRST}-01-01", f"{LAST}-12-31", BBox(*BOX, True), function="max", min_frac=FRACTION)).rows
+
+
+_LISTS = "{0}[' || string_agg({1}, ',' ORDER BY slot) FILTER (stat = '{2}') || ']"
+
+
+@query(
+    "response_climatology_json",
+    f"""{_raw_sql('points', 'site')}, based AS (SELECT *, CAST(month(period) AS INT) AS slot FROM made), two AS (SELECT site, slot, stat, coalesce(round(value, 2), -9999) AS v FROM ({_TWO.format(k='site, slot', t='based')}))
+SELECT site AS loc, '{{"Name":"' || site || '","Longitude":' || {_NUM.format('x')} || ',"Latitude":' || {_NUM.format('y')} || ',"Values":{{{_LISTS.format('"mean":', _NUM.format('v'), 'mean')},{_LISTS.format('"stdev":', _NUM.format('v'), 'stdev')}}}}}' AS json
+FROM two JOIN {_SITES} ON loc = site GROUP BY site, x, y""",
+)
+def response_climatology_json(s, d):
+    asked = Series("precip", "monthly", f"{FIRST}-01-01", f"{LAST}-12-31", Points(tuple(POINTS[:2])), min_frac=FRACTION)
+    return responses.respond(engine(s, d), "json", "climatology", asked, Climatology("mean-stdev", FIRST, LAST, YEARS)).rows
+
+
+@query(
+    "response_csv",
+    f"""{_raw_sql('poly', 'lat_i, lon_i')}, based AS (SELECT *, CAST(month(period) AS INT) AS slot FROM made), two AS ({_TWO.format(k='lat_i, lon_i, slot', t='based')})
+    SELECT '1995-2000_' || lpad(CAST(slot AS VARCHAR), 2, '0') AS "Dates", CAST(-2.0 + 0.5 * lat_i AS DOUBLE) AS "Latitude", CAST(30.0 + 0.5 * lon_i AS DOUBLE) AS "Longitude", {_WIDE.format('mean')}, {_WIDE.format('stdev')} FROM two GROUP BY slot, lat_i, lon_i""",
+)
+def response_csv(s, d):
+    asked = Series("precip", "monthly", f"{FIRST}-01-01", f"{LAST}-12-31", Polygons({"zone": [RING]}), min_frac=FRACTION)
+    return responses.respond(engine(s, d), "csv", "climatology", asked, Climatology("mean-stdev", FIRST, LAST, YEARS)).rows
+
+
 def _register_supports() -> None:
     base = Climatology("mean-stdev", FIRST, LAST, YEARS)
     for name, (support, keys, kind) in SUPPORTS.items():

@@ -245,3 +245,33 @@ def test_sinks(spark):
     assert json.loads(sinks.json_climatology(clim, sites).first()["json"])["Values"] == {"mean": [-9999.0, 4.0], "stdev": [0.5]}
     c = g.withColumn("stat", F.lit("mean")).withColumnRenamed("v", "value")
     assert sinks.climatology_columns(c, ["mean"]).count() == 2
+
+
+def test_responses(spark, tmp_path):
+    from skyweave.plans import responses
+
+    e = Engine(grid.weather(spark, SF), grid.LAT0, grid.LON0, grid.STEP, grid.STEP)
+    month = lambda s: specs.Series("precip", "monthly", "1996-01-01", "1996-03-31", s, min_frac=0.0)
+    box, mean = specs.BBox(30.4, -1.6, 31.6, -0.4), specs.BBox(30.4, -1.6, 31.6, -0.4, True)
+    ring = specs.Polygons({"z": [[(30.2, -1.8), (31.8, -1.7), (31.4, -0.2), (30.3, -0.4)]]}, True)
+    base = specs.Climatology("trend", 1995, 2000, 3)
+    csv = responses.respond(e, "csv", "raw", month(box))
+    assert csv.rows.columns == ["label", "Latitude", "Longitude", "value"] and csv.mime == "text/csv" and csv.name.endswith(".csv")
+    csv.write(str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == csv.rows.count() > 20
+    cdt = responses.respond(e, "cdt", "raw", month(ring)).rows.collect()
+    assert [r["Name"] for r in cdt][:3] == ["Longitude", "Latitude", "1996-01"] and abs(float(cdt[0]["z"]) - 31) < 0.2
+    found = responses.respond(e, "json", "climatology", month(mean), specs.Climatology("percentile", 1995, 2000, 1, percent=(5, 50)))
+    values = json.loads(found.rows.first()["json"])["Values"]
+    assert set(values) == {"5%", "50%"} and len(values["5%"]) == 3 and found.name.endswith(".json")
+    found.write(str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 1
+    index = specs.SeasonIndex("TotRain", Season(301, 531, min_frac=0.0), ring)
+    labels = json.loads(responses.respond(e, "json", "season", index).rows.first()["json"])["Dates"]
+    assert labels[0] == "1995-03-01_1995-05-31"
+    whole = specs.SeasonIndex("TotRain", Season(301, 531, min_frac=0.0), box)
+    assert {"slope", "r2"} < set(responses.respond(e, "csv", "season_climatology", whole, base).rows.columns)
+    assert json.loads(responses.respond(e, "json", "season_climatology", whole, specs.Climatology("mean", 1995, 2000, 3)).rows.first()["json"])["label"] == "1995-2000_mean"
+    for form, kind, s in (("cdt", "raw", month(box)), ("csv", "raw", month(mean)), ("netcdf", "raw", month(box)), ("cdt", "climatology", month(mean))):
+        with pytest.raises(ValueError):
+            responses.respond(e, form, kind, s, base)
