@@ -62,11 +62,13 @@ class Forest:
 
 def fit(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int, least: int = 64) -> Forest:
     """Splits at the median of each node's sample; the spill's width leaves a
-    share ``spill`` of it on both sides. Where nodes have under ``least``
+    share ``spill`` of it on both sides, or less in deep trees: a vector is to
+    have two leaves of a tree at most, on average. Where nodes have under ``least``
     sampled vectors on average, the level's splits are those of the last level
     above with more: what is broadcast does not grow beyond that, and there is
     spill at every depth."""
     rng = np.random.default_rng(seed)
+    spill = min(spill, np.log(2) / max(1, depth))
     dim = sample.shape[1] if sample.size else 1
     directions = rng.standard_normal((trees, depth, dim))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
@@ -95,7 +97,7 @@ def fit(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int, lea
 
 
 def near(
-    table: DataFrame, threshold: float = 0.93, trees: int = 12, leaf: int = 256, spill: float = 0.1, sample: int = 20_000, block: int = 1024, seed: int = 7
+    table: DataFrame, threshold: float = 0.93, trees: int = 12, leaf: int = 24, spill: float = 0.1, sample: int = 20_000, block: int = 1024, seed: int = 7
 ) -> DataFrame:
     """One row for each row of ``table(vec_id, embedding, label)``: ``vec_id,
     n_links, component_id, kept``.
