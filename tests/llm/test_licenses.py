@@ -68,3 +68,8 @@ def test_whole_words_and_own_tables(spark):
     assert {r["doc_id"]: r["notices"] for r in licenses.scan(docs, own).collect()}[5] == "X"
     both = licenses.known(spark).groupBy("digest", "whole").count()
     assert both.where("count > 1").count() == 0
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert licenses.scan(none).count() == 0 and "license_id" in licenses.scan(none).columns

@@ -71,3 +71,11 @@ def test_null_ids(spark):
     v = [float(k) for k in range(1, 9)]
     df = spark.createDataFrame([(None, v, 1), (None, v[:-1] + [8.1], 1), (7, v, 2), (None, v, 2)], "vec_id long, embedding array<double>, label int")
     assert sorted((str(r[0]), r[1], str(r[2])) for r in vectors.near(df).collect()) == [("7", 1, "7"), ("None", 1, "7"), ("None", 1, "None"), ("None", 1, "None")]
+
+
+def test_clashing_names_and_repeats_without_a_label(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(1, v, None, 7, 0), (1, v, None, 7, 0), (2, v, 5, 7, 1), (3, [1.0, 2.0, 3.01], 5, 8, 2), (4, w, 5, 9, 3), (3, [1.0, 2.0, 3.01], 5, 8, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int, n_links int")
+    found = sorted(tuple(r) for r in vectors.near(df).collect())
+    assert found == [(1, 0, 1, True), (1, 0, 1, True), (2, 2, 2, True), (3, 2, 2, False), (3, 2, 2, False), (4, 0, 4, True)]
