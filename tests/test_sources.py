@@ -188,6 +188,13 @@ def test_shapefile(spark, tmp_path):
     zones = shapefile.read(spark, str(tmp_path / "z.shp"), "NAME")
     assert {r["zone"]: len(r["rings"]) for r in zones.collect()} == {"A": 2, "B": 1} and shapefile.fields(spark, str(tmp_path / "z.shp")) == ["NAME"]
     assert {r["loc"]: round(r["lon"], 6) for r in support.zone_points(zones).collect()} == {"A": 5.5, "B": 6.0}
+    assert zones.where("zone = 'B'").first()["rings"] == [[(a + 5, b) for a, b in square]]
+    for end in ("shp", "dbf"):
+        (tmp_path / f"y.{end}").write_bytes((tmp_path / f"z.{end}").read_bytes())
+    both = shapefile.read(spark, str(tmp_path / "*.shp"), "NAME")
+    assert {r["zone"]: len(r["rings"]) for r in both.collect()} == {"A": 4, "B": 2}
+    with pytest.raises(Exception, match="no field 'AGE'"):
+        shapefile.read(spark, str(tmp_path / "z.shp"), "AGE").collect()
 
 
 def test_names():
