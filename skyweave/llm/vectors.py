@@ -97,7 +97,7 @@ def fit(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int, lea
 
 
 def near(
-    table: DataFrame, threshold: float = 0.93, trees: int = 12, leaf: int = 24, spill: float = 0.1, sample: int = 20_000, block: int = 1024, seed: int = 7
+    table: DataFrame, threshold: float = 0.93, trees: int = 12, leaf: int = 48, spill: float = 0.1, sample: int = 20_000, block: int = 1024, seed: int = 7
 ) -> DataFrame:
     """One row for each row of ``table(vec_id, embedding, label)``: ``vec_id,
     n_links, component_id, kept``.
