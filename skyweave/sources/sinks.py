@@ -15,6 +15,24 @@ def filled(v: Column, missing: float = MISSING, digits: int = 2) -> Column:
     return F.coalesce(F.round(v, digits), F.lit(missing))
 
 
+def two_decimals(v: Column) -> Column:
+    """A double as text with two decimals, the nearest to its exact value and
+    of two equally near ones the even one, as C's ``printf`` has it; Java's
+    rounds up what its shortest digits end in. From 2^63 on it is Java's."""
+    a = F.abs(v)
+    whole = F.floor(a)
+    part = a - whole
+    # Hundredths as two terms, both exact near a half, as the first has 26 bits of the part.
+    high = F.floor(part * 2.0**26) / F.lit(2.0**26)
+    most, rest = high * 100.0, (part - high) * 100.0
+    cents = F.floor(most)
+    over = (most - cents - 0.5) + rest
+    cents = cents + F.when((over > 0) | (over == 0) & (cents % 2 == 1), 1).otherwise(0)
+    sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+    exact = F.format_string("%s%d.%02d", sign, whole + F.when(cents == 100, 1).otherwise(0), cents % 100)
+    return F.when(a < 2.0**63, exact).otherwise(F.format_string("%.2f", v))
+
+
 def csv_columns(grid: DataFrame, value: str, missing: float = MISSING, lead: list[str] = ()) -> DataFrame:
     """A grid as rows ``Latitude, Longitude, value``."""
     return grid.select(*lead, F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), filled(F.col(value), missing).alias(value))
@@ -29,7 +47,7 @@ def climatology_columns(found: DataFrame, stats: list[str], missing: float = MIS
 def cdt(series: DataFrame, sites: DataFrame, names: list[str], missing: float = MISSING) -> DataFrame:
     """Sites as columns: rows Name, Longitude and Latitude come first, then
     one row a period; everything is text, numbers with two decimals."""
-    text = F.format_string("%.2f", F.coalesce(F.col("value"), F.lit(missing)))
+    text = two_decimals(F.coalesce(F.col("value"), F.lit(missing)))
     body = series.groupBy(F.col("label").alias("Name")).pivot("site", names).agg(F.first(text)).select("Name", *[F.coalesce(F.col(f"`{n}`"), F.lit(f"{missing:.2f}")).alias(n) for n in names]).withColumn("_o", F.lit(3))
     at = lambda k, o: sites.groupBy(F.lit(k).alias("Name")).pivot("loc", names).agg(F.first(F.col("lon" if o == 1 else "lat").cast("string"))).withColumn("_o", F.lit(o))
     return at("Longitude", 1).unionByName(at("Latitude", 2)).unionByName(body).orderBy("_o", "Name").drop("_o")

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,6 +255,17 @@ def test_sinks(spark):
     assert sinks.climatology_columns(c, ["mean"]).count() == 2
 
 
+def test_two_decimals_of_the_exact_value(spark):
+    ties = [k / 200 for k in range(-2001, 2001, 2)]
+    near = [math.nextafter(x, way) for x in ties for way in (-math.inf, math.inf)]
+    other = [0.0, -0.0, -0.001, 5e-324, 0.9999999999999999, -9999.0, 2.0**43 + 0.125, 2.0**46 + 0.046875, 2.0**53, 2.0**62]
+    values = ties + near + other
+    found = spark.createDataFrame([(x,) for x in values], "x double").select(sinks.two_decimals(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in found] == [f"{x:.2f}" for x in values]
+    odd = spark.sql("SELECT explode(array(double('NaN'), double('Infinity'), 1e20D, NULL)) AS x").select(sinks.two_decimals(F.col("x")).alias("t"), F.format_string("%.2f", "x").alias("u")).collect()
+    assert len(odd) == 4 and all(r["t"] == r["u"] for r in odd)
+
+
 def test_responses(spark, tmp_path):
     from skyweave.plans import responses
 
